@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from .bpe import decode_ids, encode_texts, read_ranks
 from .exact_dedup import exact_copies
 from .line_dedup import dedup_lines
+from .mixing import mix
+from .quality import fit_quality, held_out, score_quality
+from .repetition import repetition_rules
 from .shared import table
 from .url_filter import judge_urls
 
@@ -25,6 +31,30 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs)
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = encode_texts(docs, ranks, public_tokenizers.PATTERN, space_starts=True).select("doc_id", "ids")
+    return decode_ids(encoded, ranks).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), carry=["doc_id"]).drop("spans")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repetition_rules(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "covered_words", "longest_repeat",
+    )
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -35,10 +65,25 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    weights = fit_quality(docs, table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))))
+    return score_quality(docs, weights).select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op3_mixing": op3_mixing,
+    "op4_quality_rules": op4_quality_rules,
     "op5_url_filter": op5_url_filter,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL = {
