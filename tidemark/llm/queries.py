@@ -11,6 +11,7 @@ from .bpe import decode_ids, encode_texts, read_ranks
 from .exact_dedup import exact_copies
 from .line_dedup import dedup_lines
 from .mixing import mix
+from .ngram_join import jaccard_components
 from .quality import fit_quality, held_out, score_quality
 from .repetition import repetition_rules
 from .shared import table
@@ -61,6 +62,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies(table(spark, sf_dir, "documents"))
 
@@ -82,6 +87,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filter": op5_url_filter,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
