@@ -16,6 +16,7 @@ from .quality import fit_quality, held_out, score_quality
 from .repetition import repetition_rules
 from .shared import table
 from .url_filter import judge_urls
+from .warc import pages_as_records, resolve_revisits
 
 #: The rules that the contract of op5 fixes: host, path, verdict.
 URL_RULES = [
@@ -66,6 +67,19 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return resolve_revisits(pages_as_records(pages)).select(
+        ((F.col("record_id") - 1) / 2).cast("long").alias("page_id"),
+        (F.col("refers_to") / 2).cast("long").alias("response_of"),
+        "state",
+        F.array_join(
+            F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n"
+        ).alias("headers"),
+        F.sha2(F.col("payload").cast("binary"), 256).alias("payload_sha256"),
+    )
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies(table(spark, sf_dir, "documents"))
 
@@ -88,6 +102,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_url_filter": op5_url_filter,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_warc_revisits": op7_warc_revisits,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
@@ -108,6 +123,28 @@ WITH u AS (
   FROM u LEFT JOIN rules ON (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, p)
 )
 SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM fit WHERE k = 1
+""",
+    "op7_warc_revisits": """
+WITH b AS (SELECT page_id, html, regexp_replace(url, '(?s)#.*$', '') AS u FROM pages),
+c AS (
+  SELECT page_id, html, md5(html) AS m, CASE WHEN regexp_matches(u, '(?s)^[^:/?]*://') THEN
+    lower(regexp_extract(u, '(?s)^([^:/?]*)://', 1)) || '://' ||
+    regexp_replace(lower(regexp_extract(u, '(?s)^[^:/?]*://([^/?]*)', 1)),
+      CASE lower(regexp_extract(u, '(?s)^([^:/?]*)://', 1)) WHEN 'http' THEN ':80$' WHEN 'https' THEN ':443$' ELSE 'x^' END, '') ||
+    CASE WHEN starts_with(regexp_extract(u, '(?s)^[^:/?]*://[^/?]*(.*)$', 1), '/') THEN '' ELSE '/' END ||
+    regexp_extract(u, '(?s)^[^:/?]*://[^/?]*(.*)$', 1) ELSE u END AS key
+  FROM b
+), j AS (
+  SELECT r.page_id, r.m, f.page_id AS response_of, f.m AS fm, f.html AS fhtml
+  FROM (SELECT *, 2 * (page_id + 500) + 1 AS ts FROM c) r
+  ASOF LEFT JOIN (SELECT *, 2 * page_id AS ts FROM c) f ON r.key = f.key AND r.ts > f.ts
+)
+SELECT page_id, response_of,
+  CASE WHEN response_of IS NULL THEN 'missing' WHEN m = fm THEN 'resolved' ELSE 'mismatch' END AS state,
+  CASE WHEN m = fm THEN 'cache-control: max-age=3600' || chr(10) || 'content-length: ' || length(fhtml) || chr(10) ||
+    'content-type: text/html' || chr(10) || 'etag: W/"' || m || '"' END AS headers,
+  CASE WHEN m = fm THEN sha256(fhtml) END AS payload_sha256
+FROM j
 """,
     "op8_exact_dedup": """
 WITH n AS (
