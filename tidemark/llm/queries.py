@@ -15,6 +15,7 @@ from .ngram_join import jaccard_components
 from .quality import fit_quality, held_out, score_quality
 from .repetition import repetition_rules
 from .shared import table
+from .substring_dedup import repeated_passages
 from .url_filter import judge_urls
 from .warc import pages_as_records, resolve_revisits
 
@@ -84,6 +85,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     weights = fit_quality(docs, table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))))
@@ -104,6 +109,7 @@ QUERIES = {
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_warc_revisits": op7_warc_revisits,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
