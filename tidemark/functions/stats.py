@@ -136,7 +136,7 @@ def order_statistics(df: DataFrame, column: str, ranks: dict[str, Callable[[Colu
     """
     points = F.array(*[F.lit(i / grid) for i in range(grid + 1)])
     sketch = df.agg(
-        F.count(column).alias("n"), F.percentile_approx(column, points, 20 * grid).alias("at"), F.min(column).alias("lo"), F.max(column).alias("hi")
+        F.count(column).alias("n"), F.percentile_approx(column, points, 20 * grid).alias("_at"), F.min(column).alias("_lo"), F.max(column).alias("_hi")
     )
     for name, rank in ranks.items():
         r = F.greatest(F.lit(0), F.least(rank(F.col("n")), F.col("n") - 1)).cast("long")
@@ -145,11 +145,11 @@ def order_statistics(df: DataFrame, column: str, ranks: dict[str, Callable[[Colu
             name,
             F.struct(
                 r.alias("rank"),
-                F.when(i < 1, F.col("lo")).otherwise(F.get("at", F.greatest(i - 1, F.lit(0)))).alias("lo"),
-                F.when(i + 2 > grid, F.col("hi")).otherwise(F.get("at", F.least(i + 2, F.lit(grid)))).alias("hi"),
+                F.when(i < 1, F.col("_lo")).otherwise(F.get("_at", F.greatest(i - 1, F.lit(0)))).alias("lo"),
+                F.when(i + 2 > grid, F.col("_hi")).otherwise(F.get("_at", F.least(i + 2, F.lit(grid)))).alias("hi"),
             ),
         )
-    sketch = sketch.drop("at", "lo", "hi")
+    sketch = sketch.drop("_at", "_lo", "_hi")
     seen = df.select(F.col(column).alias("x")).where("x is not null").crossJoin(F.broadcast(sketch))  # one row
     below = seen.agg(*[F.sum((F.col("x") < F.col(f"{k}.lo")).cast("long")).alias(k) for k in ranks])
     inside = (

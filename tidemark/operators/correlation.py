@@ -42,7 +42,9 @@ def ranked(moves: DataFrame, by: list[str] | None = None) -> DataFrame:
             .select(*keys, c, (F.col("_off") + F.col("_b") + (F.col("_c") + 1) / 2).alias(f"_r_{c}"))
         )
         out = out.join(rank, [*keys, c])
-    return out.select(*[F.col(f"_r_{c}").alias(c) if c in ("value", "move") else F.col(c) for c in moves.columns])
+    return out.select(
+        *[F.col(f"_r_{c}").alias(c) if c in ("value", "move") else F.col(c) for c in moves.columns], F.col("move").alias("_raw")
+    )
 
 
 def correlate(
@@ -53,13 +55,14 @@ def correlate(
     Rank kinds work on average ranks; Kendall is served by them too.  A
     constant side gives r = 0, and so do fewer than two rows.
     """
-    rows = moves if kind is CorrelationKind.PEARSON else ranked(moves, by)
+    rows = moves.withColumn("_raw", F.col("move")) if kind is CorrelationKind.PEARSON else ranked(moves, by)
     n = F.count(F.lit(1))
-    grouped = rows.groupBy(*by) if by else rows.groupBy()
-    got = grouped.agg(n.alias("n"), F.when(n >= 2, pearson("value", "move")).otherwise(0.0).alias("r"))
-    means = (moves.groupBy(*by) if by else moves.groupBy()).agg(F.coalesce(F.avg("move"), F.lit(0.0)).alias("avg_move"))
-    joined = got.join(means, by) if by else got.crossJoin(F.broadcast(means))  # one row
-    return described(joined, corrected)
+    got = rows.groupBy(*(by or [])).agg(
+        n.alias("n"),
+        F.when(n >= 2, pearson("value", "move")).otherwise(0.0).alias("r"),
+        F.coalesce(F.avg("_raw"), F.lit(0.0)).alias("avg_move"),
+    )
+    return described(got, corrected)
 
 
 def outlier_handled(moves: DataFrame) -> DataFrame:

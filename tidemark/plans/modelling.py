@@ -279,7 +279,7 @@ def ts_kfold(spark, d):
     f"""WITH {MOVES}, {folds_sql(0.3, 0.1, False)}, a AS (SELECT count(*) AS k, avg(out_of_sample) AS m, stddev_samp(out_of_sample) AS sd, avg(in_sample) AS tm, stddev_pop(out_of_sample) AS sp,
   covar_pop(fold, out_of_sample) / var_pop(fold) AS sl, max_by(train_n, (out_of_sample, -fold)) AS bn, min(train_start) AS st, max(held_end) AS en, max(train_n + held_n) AS rw FROM folds)
 SELECT k AS n_folds, round(m, 6) AS mean_score, round(sd, 6) AS std_score, round(tm, 6) AS mean_train, round(m - 1.96 * sd / sqrt(k), 6) AS ci_low, round(m + 1.96 * sd / sqrt(k), 6) AS ci_high,
-  sd < 0.2 AS stationary, round(greatest(0, -sl), 6) AS degrading, round(sp / m, 6) AS consistency, round((en - st) * bn / rw / {DAY}, 6) AS lookback_days, tm > m + 0.1 AS overfitted FROM a""",
+  sd < 0.2 AS stationary, round(greatest(0, -sl), 6) AS degrading, round(sp / m, 6) AS consistency, round(CAST(en - st AS DOUBLE) * bn / rw / {DAY}, 6) AS lookback_days, tm > m + 0.1 AS overfitted FROM a""",
 )
 def cv_summary(spark, d):
     return rounded(va.cv_summary(va.expanding_folds(line_moves(spark, d))))
@@ -403,12 +403,12 @@ def live_expectation(spark, d):
 def orders_points(spark, d):
     return read(spark, d, "orders").select(
         F.col("o_orderkey").alias("id"), micros("o_orderdate").alias("us"), F.col("o_orderpriority").alias("measurement_id"),
-        (F.col("o_custkey") % 100).cast("double").alias("value"), (F.col("o_totalprice") / 1000).alias("price"), (F.col("o_orderkey") % 5).cast("double").alias("atr"),
+        (F.col("o_custkey") % 100).cast("double").alias("value"), F.col("o_totalprice").alias("price"), (F.col("o_orderkey") % 5).cast("double").alias("atr"),
     )
 
 
 ORDER_POINTS = """points AS (SELECT o_orderkey AS id, epoch_us(o_orderdate) AS us, o_orderpriority AS measurement_id, CAST(o_custkey % 100 AS DOUBLE) AS value,
-  o_totalprice / 1000 AS price, CAST(o_orderkey % 5 AS DOUBLE) AS atr FROM orders)"""
+  o_totalprice AS price, CAST(o_orderkey % 5 AS DOUBLE) AS atr FROM orders)"""
 
 
 @query("movements_ties", f"WITH {ORDER_POINTS}, {asof(7 * DAY, 'measurement_id')} SELECT id, us, next_id, round(move, 6) AS move FROM mv")

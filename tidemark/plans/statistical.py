@@ -170,9 +170,9 @@ def correlation_outlier_capped(spark, d):
     return rounded(co.correlate_handled(heavy_moves(spark, d)).select(*SHOWN))
 
 
-@query("contextual_filter", f"WITH {POINTS}, {asof(HOUR)}, s AS (SELECT count(*) AS n, {R} AS r, avg(move) AS avg_move FROM mv WHERE ctx_user > 500) {_described('s')}")
+@query("contextual_filter", f"WITH {POINTS}, {asof(HOUR)}, s AS (SELECT count(*) AS n, {R} AS r, avg(move) AS avg_move FROM mv WHERE value > 60) {_described('s')}")
 def contextual_filter(spark, d):
-    return rounded(co.contextual(mv.movements(event_points(spark, d), [HOUR]), "user", ">", 500).select(*SHOWN))
+    return rounded(co.contextual(mv.movements(event_points(spark, d), [HOUR]), "k", ">", 60).select(*SHOWN))
 
 
 HORIZONS = [30 * MINUTE, HOUR, 4 * HOUR]
