@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from tidemark.llm import components as components_module
 from tidemark.llm import ngram_join
 from tidemark.llm.components import components
 from tidemark.llm.ngram_join import jaccard_components
@@ -78,6 +79,20 @@ def test_large_clusters_are_cut_into_tiles(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_components_by_rounds_and_in_one_task(spark, monkeypatch, most):
+    monkeypatch.setattr(components_module, "TASK_EDGES", most)
+    rng = random.Random(3)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(130)] + [(i, i + 1) for i in range(400, 460)]
+    root = {x: x for e in edges for x in e}
+    for _ in range(400):
+        for u, v in edges:
+            root[u] = root[v] = min(root[u], root[v])
+    got = components(spark.createDataFrame(edges, "u long, v long")).collect()
+    lone = {u for u, v in edges if u == v} - {x for u, v in edges if u != v for x in (u, v)}
+    assert {r.node: r.label for r in got} == {k: v for k, v in root.items() if k not in lone} and len(got) == len(root) - len(lone)
+
+
 def test_edges(spark):
     df = spark.createDataFrame([], "doc_id long, text string, n string")
     assert jaccard_components(df).count() == 0
