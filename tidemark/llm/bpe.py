@@ -27,10 +27,10 @@ from pyspark.sql import types as T
 
 from .shared import q
 
-#: Matches kept per task; beyond it the table starts anew.
-CACHED = 600_000
+#: Matches kept in each of two generations of a table; beyond it the older one goes.
+CACHED = 250_000
 CACHED_CHARS = 64
-PAIRS = 500_000
+PAIRS = 250_000
 #: Above any rank.
 NEVER = 1 << 62
 
@@ -47,6 +47,7 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes = {r: t for t, r in ranks.items()}
+        self.sizes = {r: len(t) for t, r in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
         self._spines: dict[int, tuple | None] = {}
         self._pairs: dict[int, bool] = {}
@@ -108,6 +109,27 @@ class Vocabulary:
             ok = self._pairs[key] = self._apart(a, b)
         return ok
 
+    def last_tokens(self, data: str, start: int, last: list[int], stop: int | None = None) -> list[int]:
+        """``last`` filled for the prefixes that end from ``start`` to ``stop``; those before are there.
+
+        ``data`` holds one byte per character.
+        """
+        stop = len(data) if stop is None else stop
+        last += [-1] * (stop - start)
+        known, follows = self._pairs.get, self.follows
+        for end, (t, n) in self.finder.iter(data, max(0, start - self.longest + 1), stop):
+            if last[end] < 0:
+                j = end - n
+                if j < 0:
+                    last[end] = t
+                else:
+                    ok = known(last[j] << 32 | t)
+                    if ok or (ok is None and follows(last[j], t)):
+                        last[end] = t
+        if -1 in last:
+            raise ValueError(f"no token ends at byte {last.index(-1)}")
+        return last
+
     def _apart(self, a: int, b: int) -> bool:
         one, two = self.spines(a), self.spines(b)
         if not (one[2] and two[2]):
@@ -134,17 +156,7 @@ class PrefixTable:
         self.append(data)
 
     def _fill(self, start: int, stop: int) -> None:
-        """Entries from ``start`` to ``stop``; those before are there."""
-        v, last = self.vocabulary, self.last
-        follows = v.follows
-        last += [-1] * (stop - start)
-        for end, (t, n) in v.finder.iter(self.data, max(0, start - v.longest + 1), stop):
-            if end >= start and last[end] < 0:
-                j = end - n
-                if j < 0 or follows(last[j], t):
-                    last[end] = t
-        if -1 in last[start:]:
-            raise ValueError(f"no token ends at byte {last.index(-1)}")
+        self.last = self.vocabulary.last_tokens(self.data, start, self.last, stop)
 
     def append(self, more: bytes) -> None:
         start = len(self.data)
@@ -178,15 +190,21 @@ class PrefixTable:
 
 
 class _Known(dict):
-    """A bounded table that computes what it doesn't hold."""
+    """A bounded table that computes what it doesn't hold.
+
+    Two generations: a full one becomes the older, and what is asked for again
+    comes back from there.
+    """
 
     def __init__(self, compute, most: int):
-        self.compute, self.most = compute, most
+        self.compute, self.most, self.old = compute, most, {}
 
     def __missing__(self, key: str) -> tuple[int, ...]:
-        ids = self.compute(key)
+        if (ids := self.old.get(key)) is None:
+            ids = self.compute(key)
         if len(key) <= CACHED_CHARS:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[key] = ids
         return ids
@@ -212,7 +230,16 @@ class Encoder:
 
     def encode_bytes(self, piece: bytes) -> list[int]:
         whole = self.vocabulary.ranks.get(piece)
-        return [whole] if whole is not None else PrefixTable(self.vocabulary, piece).tokens()
+        if whole is not None:
+            return [whole]
+        v, n = self.vocabulary, len(piece)
+        last = v.last_tokens(piece.decode("latin-1"), 0, [])
+        out, sizes = [], v.sizes
+        while n:
+            out.append(t := last[n - 1])
+            n -= sizes[t]
+        out.reverse()
+        return out
 
     def _compute(self, piece: str) -> tuple[int, ...]:
         return tuple(self.encode_bytes(piece.encode("utf-8", "replace")))
@@ -285,6 +312,19 @@ class EditableText:
         return [t for piece in self.ids for t in piece]
 
 
+_shared: dict[int, Encoder] = {}
+
+
+def _encoder(held) -> Encoder:
+    """One encoder per worker process, kept from task to task with what it has encoded."""
+    value = held.value
+    key = hash((value[1], value[2], len(value[0]), hash(frozenset(value[0].items()))))
+    if key not in _shared:
+        _shared.clear()
+        _shared[key] = Encoder(*value)
+    return _shared[key]
+
+
 def encode_texts(
     df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", out_col: str = "ids", space_starts: bool = False
 ) -> DataFrame:
@@ -299,7 +339,7 @@ def encode_texts(
     schema = T.StructType([*base.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*held.value)
+        encoder = _encoder(held)
         for batch in batches:
             parts, sizes = [], [0]
             for t in batch.column(place).to_pylist():
@@ -323,10 +363,9 @@ def decode_ids(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out
         token = {r: t for t, r in held.value.items()}.__getitem__
         for batch in batches:
             column = batch.column(place)
-            values = column.flatten().to_numpy(zero_copy_only=False).tolist()
-            out, at = [], 0
-            for n in (column.value_lengths().fill_null(0)).to_pylist():
-                out.append(b"".join(map(token, values[at : at + n])))
+            values, out, at = column.flatten().to_numpy(zero_copy_only=False), [], 0
+            for n in column.value_lengths().fill_null(0).to_pylist():  # one text's ids as Python numbers at a time
+                out.append(b"".join(map(token, values[at : at + n].tolist())))
                 at += n
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, out_col])
 
