@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, fresh, materialize, q
+from .shared import WORD, let, materialize, q
 
 #: Hash buckets of a source; shards are runs of buckets.
 BUCKETS = 65536
@@ -231,18 +231,20 @@ def mixed_texts(mixed: DataFrame, text_col: str = "text") -> DataFrame:
         "_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform("spans", lambda s: s["times"]))))
     )
     words = F.regexp_extract_all(q(text_col), F.lit("(?s)[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+"), F.lit(0))
-    (held,) = fresh(mixed, "_words")
-    text = F.array_join(
-        F.flatten(
-            F.transform(
-                F.filter("spans", lambda s: s["times"] >= F.col("_pass")),
-                lambda s: F.slice(F.col(held), (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")),
-            )
+    # let: the words are found once a row, not once a span
+    text = let(
+        words,
+        lambda held: F.array_join(
+            F.flatten(
+                F.transform(
+                    F.filter("spans", lambda s: s["times"] >= F.col("_pass")),
+                    lambda s: F.slice(held, (s["from"] + 1).cast("int"), (s["to"] - s["from"]).cast("int")),
+                )
+            ),
+            "",
         ),
-        "",
     )
     whole = F.forall("spans", lambda s: s["times"] >= F.col("_pass")) & (
         F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["to"] - s["from"]) == F.col("size")
     )
-    cut = passes.withColumn(held, F.when(whole, F.lit(None)).otherwise(words))
-    return cut.withColumn(text_col, F.when(whole, q(text_col)).otherwise(text)).drop(held, "_pass")
+    return passes.withColumn(text_col, F.when(whole, q(text_col)).otherwise(text)).drop("_pass")
