@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import decode_ids, encode_texts, read_ranks
-from tidemark.llm.line_dedup import dedup_lines
+from tidemark.llm.line_dedup import dedup_blocks
 from tidemark.llm.mixing import mix, mixed_texts
 from tidemark.llm.ngram_join import jaccard_components
 from tidemark.llm.quality import fit_quality, keep_quality
@@ -30,8 +30,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines are cut out; documents stay, perhaps with an empty text."""
-    return _with_length(dedup_lines(docs).select(*docs.columns))
+    """Repeated blocks of lines are cut out; documents stay, perhaps with an empty text."""
+    return _with_length(dedup_blocks(docs).select(*docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Row
 from pyspark.sql import types as T
 
 from tidemark.llm.exact_dedup import drop_copies, exact_copies
-from tidemark.llm.line_dedup import dedup_lines
+from tidemark.llm.line_dedup import dedup_blocks, dedup_lines
 from tidemark.llm.url_filter import judge_urls
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("hash", T.StringType())])
@@ -147,3 +147,30 @@ def test_line_dedup_edges(spark):
     assert [r.text for r in got if r.doc_id == 1] == [p + "own tail"] * 2
     assert all(r.n_removed_lines > 0 for r in got if r.doc_id in (2, 3, None))
     assert Row(*got[0]) and set(got[0].asDict()) == {"doc_id", "text", "hash", "n_lines", "n_removed_lines"}
+
+
+def test_repeated_blocks_of_two_lines_and_more_go(spark):
+    rng = random.Random(16)
+    rows, want = [], {}
+    own = iter(range(10**6))
+    for m in (2, 3, 4, 6, 20) * 12:  # a block in two texts, among lines of their own
+        block = [f"block {next(own)}" for _ in range(m)]
+        if m == 4:
+            block[2:2] = ["", " "]
+        for again in (False, True):
+            head, tail = ([f"own {next(own)}" for _ in range(rng.randint(1, 5))] for _ in range(2))
+            want[len(rows)] = "\n".join(head + [] if again else head + block) + "\n" + "\n".join(tail)
+            rows.append((len(rows), "\n".join(head + block + tail)))
+    hot = ["hot a", "hot b"]
+    for i in range(200):
+        want[1000 + i] = "\n".join([f"x{i}"] + hot * (i == 0) + [f"y{i}"])
+        rows.append((1000 + i, "\n".join([f"x{i}", *hot, f"y{i}"])))
+    rows += [(2000, "lone\nz1"), (2001, "lone\nz2"), (2002, None), (2003, ""), (2004, "s\ns\n" * 20), (None, "hot a\nhot b")]
+    want |= {2000: "lone\nz1", 2001: "lone\nz2", 2002: None, 2003: "", 2004: "s\ns\n", None: ""}
+    got = dedup_blocks(docs(spark, rows)).collect()
+    assert {r.doc_id: r.text for r in got} == want and len(got) == len(rows)
+    by = dict(rows)
+    for r in got:
+        assert r.n_lines == (0 if by[r.doc_id] is None else by[r.doc_id].count("\n") + 1)
+        assert r.n_removed_lines == (r.n_lines - r.text.count("\n") - 1 if r.text else r.n_lines * (r.doc_id is None))
+    assert dedup_blocks(docs(spark, [])).count() == 0

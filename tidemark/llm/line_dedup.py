@@ -1,6 +1,11 @@
-"""Line dedup by content-defined chunks [native].
+"""Line dedup by repeated blocks of lines, and by content-defined chunks [native].
 
-A text is cut into lines; a rolling polynomial hash over the hashes of the last
+``dedup_blocks`` cuts every line that lies in a block of two or more lines with
+words which occurs at an earlier place too, wherever the block stands.  Such a
+block is made of units of two neighbouring lines with words (and the blank lines
+between); units are grouped over the whole corpus by SHA-256.
+
+``dedup_lines`` cuts whole chunks only and so misses short or shifted blocks.  A text is cut into lines; a rolling polynomial hash over the hashes of the last
 ``window`` lines decides after which lines a chunk ends, so that inserting or
 deleting lines moves only the boundaries nearby.  Chunks of two or more lines
 with words are grouped over the whole corpus by a 128-bit hash; a group counts
@@ -19,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, fresh, let, q
+from .shared import SPACE, WORD, fresh, let, q
 
 #: Modulus and base of the rolling hash; products stay below 2**62.
 MODULUS, BASE = 2147483647, 1000003
@@ -153,3 +158,78 @@ def dedup_lines(
         .cast("long")
         .alias("n_removed_lines"),
     )
+
+
+def _units(text: Column) -> Column:
+    """Structs of the lines with words but the last: its number, how many lines on the next one is, and the SHA-256 of both and what is between."""
+
+    def of(lines: Column, at: Column) -> Column:
+        def unit(i: Column, k: Column) -> Column:
+            return let(
+                F.get(at, k + 1) - i,
+                lambda more: F.struct(
+                    i.alias("no"),
+                    more.alias("more"),
+                    F.unhex(F.sha2(F.array_join(F.slice(lines, i + 1, more + 1), "\n").cast("binary"), 256)).alias("key"),
+                ),
+            )
+
+        return F.transform(F.slice(at, F.lit(1), F.greatest(F.size(at) - 1, F.lit(0))), unit)
+
+    def worded(lines: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size(lines) - 1)
+        return let(F.filter(every, lambda i: F.get(lines, i).rlike(WORD)), lambda at: of(lines, at))
+
+    return let(F.split(F.coalesce(text, F.lit("")), "\n", -1), worded)
+
+
+def repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The lines to cut: id, fp (hash of the text) and the numbers start to end, both included."""
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "fp", "no")
+    units = df.where(F.instr(q(text_col), "\n") > 0).select(
+        q(id_col).alias("id"), F.xxhash64(q(text_col)).alias("fp"), F.inline(_units(q(text_col)))
+    )
+    groups = (
+        units.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("key", "first")
+    )
+    own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("fp") == F.col("first.fp"))
+    # where a text repeats itself with an overlap, the lines of the first occurrence stay
+    start = F.when(own, F.greatest(F.col("no"), F.col("first.no") + F.col("more") + 1)).otherwise(F.col("no"))
+    return (
+        units.join(groups, "key")
+        .where(place != F.col("first"))
+        .select("id", "fp", start.alias("start"), (F.col("no") + F.col("more")).alias("end"))
+    )
+
+
+def dedup_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every row of ``df`` without the lines of repeated blocks, plus n_lines and n_removed_lines.
+
+    A line goes if two or more neighbouring lines with words that hold it occur,
+    byte by byte, at an earlier place too (by id, hash of the text, line).  The
+    first occurrence of a line never goes.  Defined cases are as in ``dedup_lines``.
+    """
+    base = df.drop("n_lines", "n_removed_lines")
+    fp, rid, rfp, gone, done = fresh(base, "fp", "rid", "rfp", "gone", "done")
+    cuts = (
+        repeated_lines(df, id_col, text_col)
+        .groupBy("id", "fp")
+        .agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", "end")))).alias("nos"))
+        .select(F.col("id").alias(rid), F.col("fp").alias(rfp), F.col("nos").alias(gone))
+    )
+    joined = base.withColumn(fp, F.xxhash64(q(text_col))).join(
+        cuts, q(id_col).eqNullSafe(F.col(rid)) & (F.col(fp) == F.col(rfp)), "left"
+    )
+    kept = let(
+        F.split(q(text_col), "\n", -1),
+        lambda lines: F.array_join(
+            F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(lines, i)), "\n"
+        ),
+    )
+    text = F.when(F.col(gone).isNull(), q(text_col)).otherwise(kept)
+    n = F.when(q(text_col).isNull(), F.lit(0)).otherwise(F.size(F.split(q(text_col), "\n", -1))).cast("long")
+    removed = F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone))
+    staged = joined.select(*[q(c) for c in base.columns], text.alias(done), n.alias("n_lines"), removed.cast("long").alias("n_removed_lines"))
+    return staged.select(
+        *[q(done).alias(c) if c == text_col else q(c) for c in base.columns], "n_lines", "n_removed_lines"
+    )

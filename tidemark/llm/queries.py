@@ -9,7 +9,7 @@ import public_tokenizers
 
 from .bpe import decode_ids, encode_texts, read_ranks
 from .exact_dedup import exact_copies
-from .line_dedup import dedup_lines
+from .line_dedup import dedup_blocks
 from .mixing import mix
 from .ngram_join import jaccard_components
 from .quality import fit_quality, held_out, score_quality
@@ -31,7 +31,7 @@ URL_RULES = [
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs)
+    return dedup_blocks(docs)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
