@@ -85,6 +85,13 @@ def test_gap_and_tree_splits(spark):
     assert [r.split for r in bo.tree_splits(df, 3).orderBy("split").collect()] == [40, 53.5, 75]
 
 
+def test_a_tree_stands_in_where_no_split_is_found(spark):
+    df = moves(spark, [(i, i * 0.05) for i in range(60)])
+    got = [r.split for r in bo.tree_splits(df, 3).collect()]
+    assert 1 <= len(got) <= 3 and any(19 <= x <= 20 for x in got)
+    assert bo.tree_splits(moves(spark, [(i, i * 0.05) for i in range(10)]), 3).count() == 0
+
+
 def test_order_statistics_are_exact(spark):
     values = [(i * 7919) % 1009 / 4 for i in range(700)] + [5.0] * 300
     df = spark.createDataFrame([(v,) for v in values], "x double").repartition(5)

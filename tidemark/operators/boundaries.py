@@ -134,6 +134,10 @@ def tree_splits(moves: DataFrame, depth: int) -> DataFrame:
     for g in gaps:
         behavior = behavior.where(F.abs(F.col("split") - g) >= 5)
     splits = behavior.unionByName(spark.createDataFrame([(g,) for g in gaps], "split double")).distinct()
+    if splits.isEmpty() and len(moves.limit(11).take(11)) > 10:
+        from .ml import tree_thresholds  # ml imports this module
+
+        splits = spark.createDataFrame([(float(t),) for t in tree_thresholds(moves, 1.0, depth)], "split double")
     hist = moves.groupBy("value").agg(F.sum("move").alias("s"), F.count(F.lit(1)).alias("c"))
     all_ = hist.agg(F.sum("s").alias("_s"), F.sum("c").alias("_c"))
     upto = Window.partitionBy(F.lit(0)).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
