@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -26,6 +27,9 @@ TEXT = st.text(st.sampled_from("aabcdetionsh'  \n\t é世🙂12#!\r\x0b") | st.
 def test_encoding_is_the_librarys(text):
     want = TIKTOKEN.encode_ordinary(text)
     assert ENCODER.encode(text) == want and PLAIN.encode(text) == want
+    column = ENCODER.encode_column(pa.array([text, None, "a " + text, text]))
+    assert column.to_pylist() == [want, [], TIKTOKEN.encode_ordinary("a " + text), want]
+    assert ENCODER.decode_column(column.slice(2)).to_pylist() == [("a " + text).encode(), text.encode()]
     assert ENCODER.decode(want) == text.encode()
 
 
@@ -54,7 +58,7 @@ def test_prefix_tables_append_edit_and_long_runs():
     assert table.tokens() == PrefixTable(v, data[:500] + b"zz" + data[503:]).tokens()
     for text in ("a" * 30000, "ab" * 9000, "\n" * 5000, "=" * 3000):
         assert ENCODER.encode(text) == TIKTOKEN.encode_ordinary(text)
-    for a, b in ((rng.choice(list(v.bytes)), rng.choice(list(v.bytes))) for _ in range(3000)):
+    for a, b in (rng.choices(range(len(v.bytes)), k=2) for _ in range(3000)):
         assert v.follows(a, b) == (v.merged(v.bytes[a] + v.bytes[b]) == [a, b])
 
 
@@ -66,6 +70,19 @@ def test_texts_round_trip_on_spark(spark):
     for r in out:
         assert r.ids == TIKTOKEN.encode_ordinary(r.text or "") and bytes(r.decoded) == (r.text or "").encode()
     assert encode_texts(df.limit(0), RANKS, P.PATTERN).count() == 0
+    both = encode_texts(df, RANKS, P.PATTERN, space_starts=True, decoded_col="decoded", carry=["doc_id"])
+    assert both.columns == ["doc_id", "ids", "decoded"]
+    assert sorted((r.doc_id or 0, r.ids, bytes(r.decoded)) for r in both.collect()) == sorted(
+        (r.doc_id or 0, r.ids, bytes(r.decoded)) for r in out
+    )
+
+
+def test_every_code_point_is_classed_as_the_library_does():
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for before, after in (("", ""), ("", "'re"), (" ", ""), ("a", "1"), ("'", "")):
+        for i in range(0, len(points), 1 << 14):
+            text = "\n".join(before + c + after for c in points[i : i + (1 << 14)])
+            assert ENCODER.encode(text) == TIKTOKEN.encode_ordinary(text)
 
 
 def brute_repeats(words):

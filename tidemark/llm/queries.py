@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from .bpe import decode_ids, encode_texts, read_ranks
+from .bpe import encode_texts, read_ranks
 from .exact_dedup import exact_copies
 from .line_dedup import dedup_blocks
 from .mixing import mix
@@ -37,8 +37,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = encode_texts(docs, ranks, public_tokenizers.PATTERN, space_starts=True).select("doc_id", "ids")
-    return decode_ids(encoded, ranks).select(
+    encoded = encode_texts(docs, ranks, public_tokenizers.PATTERN, space_starts=True, decoded_col="decoded", carry=["doc_id"])
+    return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
