@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.bpe import decode_ids, encode_texts, read_ranks
+from tidemark.llm.bpe import encode_texts, read_ranks
 from tidemark.llm.line_dedup import dedup_blocks
 from tidemark.llm.mixing import mix, mixed_texts
 from tidemark.llm.ngram_join import jaccard_components
@@ -49,9 +49,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether they decode to it."""
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    encoded = encode_texts(docs.select("doc_id", "source", "text"), ranks, public_tokenizers.PATTERN, space_starts=True)
+    encoded = encode_texts(
+        docs, ranks, public_tokenizers.PATTERN, space_starts=True, decoded_col="decoded", carry=["doc_id", "source", "text"]
+    )
     text = F.coalesce("text", F.lit("")).cast("binary")
-    return decode_ids(encoded, ranks).select(
+    return encoded.select(
         "doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == text).alias("round_trip")
     )
 
