@@ -3,12 +3,12 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from tidemark.llm import components as components_module
 from tidemark.llm import ngram_join
 from tidemark.llm.components import components
-from tidemark.llm.ngram_join import jaccard_components
+from tidemark.llm.ngram_join import Bands, jaccard_components
 
 
 def brute(rows, k, percent):
@@ -79,9 +79,42 @@ def test_large_clusters_are_cut_into_tiles(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
-@pytest.mark.parametrize("most", [0, 10**6])
-def test_components_by_rounds_and_in_one_task(spark, monkeypatch, most):
-    monkeypatch.setattr(components_module, "TASK_EDGES", most)
+def test_a_large_cluster_that_does_not_link(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE_DOCS", 10)
+    monkeypatch.setattr(ngram_join, "HUBS", 3)
+    rng = random.Random(5)
+    shared = [f"s{j}" for j in range(100)]
+    rows = []
+    for i in range(120):  # all share a passage of half their words, few link
+        w = shared + [f"o{rng.random()}" for _ in range(rng.randint(80, 110))]
+        rows.append((i, " ".join(w)))
+        if i % 40 == 0:
+            w[rng.randrange(len(w))] = "edit"
+            rows.append((1000 + i, " ".join(w)))
+    want = brute(rows, 4, 85)
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k=4, percent=85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+@pytest.mark.parametrize("percent", [80, 85, 50])
+def test_sets_that_link_share_a_key_of_a_band(percent):
+    rng, bands = np.random.default_rng(percent), Bands(percent)
+    for _ in range(3000):
+        n = int(rng.integers(1, rng.choice([8, 40, 400, 3000])))
+        a = rng.integers(0, 2**64, n, dtype=np.uint64)
+        # as many words go and come as the bound lets
+        common = n - int(rng.integers(0, n + 1 - -(-n * percent // 100)))
+        extra = int(rng.integers(0, max(1, common * 100 // percent - n + 1)))
+        b = np.unique(np.concatenate([a[:common], rng.integers(0, 2**64, extra, dtype=np.uint64)]))
+        a = np.unique(a)
+        if 100 * common >= percent * (len(a) + len(b) - common) and not np.array_equal(a, b):
+            one, two = bands.keys(a), bands.keys(b)
+            met = np.intersect1d(one & ~1, two & ~1)
+            assert len(met)
+            assert {k & ~1 for k in (*one.tolist(), *two.tolist()) if k & 1} & set(met.tolist())
+
+
+def test_components_by_rounds(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(130)] + [(i, i + 1) for i in range(400, 460)]
     root = {x: x for e in edges for x in e}

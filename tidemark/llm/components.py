@@ -2,42 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import discard, materialize
 
 
-#: Edges that one task may take on; more go by rounds of stars over all executors.
-TASK_EDGES = 400_000
-
-
-def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over the edges of one task: (node, label)."""
-    root: dict = {}
-
-    def find(x):
-        while (up := root[x]) != x:
-            root[x] = x = root[up]
-        return x
-
-    kind = None
-    for batch in batches:
-        kind = batch.schema.field(0).type
-        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            root.setdefault(u, u)
-            root.setdefault(v, v)
-            a, b = find(u), find(v)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-    if root:
-        nodes = list(root)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([find(x) for x in nodes], kind)], ["node", "label"])
-
-
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Each node's neighbours (the larger ones, or the others and itself) joined to the least of all it sees."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
@@ -52,8 +22,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the edges (u, v); label is the component's least node.
 
-    Nodes are of any type with an order.  Up to ``TASK_EDGES`` edges are united
-    in one task; more go by rounds, with the same result.  Each round is a written table, so a
+    Nodes are of any type with an order.  Each round is a written table, so a
     lost executor costs one round at most; the rounds grow with the logarithm
     of the longest path.  Grouping by node combines before the shuffle and the
     join back is one that Spark can split, so a node may hold any share of edges.
@@ -61,13 +30,10 @@ def components(edges: DataFrame) -> DataFrame:
     cur = materialize(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
-    if cur.count() <= TASK_EDGES:
-        kind = cur.schema["u"].dataType.simpleString()
-        return materialize(cur.repartition(1).mapInArrow(_united, f"node {kind}, label {kind}"), "labels")
     state = None
     while True:
         now = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        if now == state or not now[0]:
             break
         state = now
         done, cur = cur, materialize(_star(_star(cur, True), False), "edges")

@@ -1,30 +1,33 @@
 """N-gram Jaccard join in size-banded tiles with bitmap signatures.
 
-Documents become sets of hashed word shingles; equal sets are one node.  Keys
-made of ``rows`` min-hashes bring together what can be similar: the connected
-components of "shares a key" are the clusters, so every pair that shares a key
-lies in one cluster.  A cluster of bounded size is one tile.  A larger one is
-cut into tiles by size band (only neighbouring bands can link) and hash; a few
-hubs of each band are met first, and pairs of tiles after that need to be met
-only where one side is not yet in the cluster's largest component.
+Documents become sets of hashed word shingles; equal sets are one node.  Sets
+are put into bands by size, such that only sets of one band or of neighbouring
+ones can link.  Two that link, the larger one in a given band, differ in no
+more than d shingles, d following from the band and the bound.  So each set is
+cut by hash into more than d parts, as many as its band asks for: of two that
+link some part is the same in both, and the sums of the parts are the keys by
+which sets meet.  No link is lost, and no key depends on other documents.
+
+The connected components of "shares a key" are the clusters.  A cluster is cut
+into tiles of bounded size, by band and hash where one does not do.  A first
+round holds all sets of a tile against each other and against a few hubs of the
+neighbouring tiles; a second one meets pairs of tiles only where one side is
+not yet in the cluster's largest component.
 
 In a tile each set has a bitmap of hashed shingles.  The set bits in which two
 differ bound the overlap from above; pairs that pass, and are not connected
 yet, are intersected exactly as sorted arrays.
-
-Keys find a pair at similarity s with a chance of 1 - (1 - s**rows)**bands: at
-the default of 40 keys of 6 rows a link at 0.85 is met by none with a chance of
-6e-9, one at 0.8 with 5e-6.  Nothing else can lose a link.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -65,41 +68,87 @@ def shingles(text: str | None, k: int, words: dict) -> np.ndarray:
     return np.unique(out)
 
 
-def band_keys(s: np.ndarray, a: np.ndarray, b: np.ndarray, bands: int) -> np.ndarray:
-    """One 64-bit key per band, of the minima of its hash functions."""
-    with np.errstate(over="ignore"):
-        least = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
-        for i in range(0, len(s), 8192):
-            least = np.minimum(least, (a[:, None] * s[None, i : i + 8192] + b[:, None]).min(axis=1))
-        out = np.arange(bands, dtype=np.uint64) * np.uint64(MIX[2]) + np.uint64(1)
-        for row in least.reshape(bands, -1).T:
-            out = (out ^ row) * np.uint64(MIX[0])
-            out ^= out >> np.uint64(31)
-    return out.view(np.int64)
-
-
-def _described(df: DataFrame, id_col: str, text_col: str, k: int, bands: int, rows: int) -> DataFrame:
-    """id, fp (hash of the text), n, sig (16 bytes that name the set), node (its first 8) and keys."""
-    rng = np.random.default_rng(20240607)
-    a = rng.integers(0, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    b = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
+class Bands:
+    """Bands of set sizes, and into how many parts a set is cut to meet those whose larger one is of a band."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.starts = [1]
+        self._edges: dict[int, np.ndarray] = {}
+
+    def of(self, n: int) -> int:
+        """The band of a size; a size and one that links with it lie in the same or in neighbouring bands."""
+        while self.starts[-1] <= n:  # the next one starts where two steps of the bound have been made
+            self.starts.append(-(-self.starts[-1] * 10000 // self.percent**2) + 1)
+        return bisect_right(self.starts, n) - 1
+
+    def differences(self, band: int) -> int:
+        """The most shingles in which two that link can differ, the larger one in ``band``."""
+        self.of(self.starts[-1])
+        return 2 * (self.starts[band + 1] - 1) * (100 - self.percent) // (100 + self.percent)
+
+    def keys(self, s: np.ndarray) -> np.ndarray:
+        """Keys of a sorted set, the last bit set in those of its own band, which a key must have to matter."""
+        n, out = len(s), []
+        own = self.of(n)
+        if not n:
+            return np.zeros(0, np.int64)
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((s ^ (s >> np.uint64(31))) * np.uint64(MIX[2]), dtype=np.uint64)])
+            for band in (own, own + 1):
+                if band > own and 100 * n < self.percent * self.starts[band]:
+                    continue
+                d = self.differences(band)
+                if not d:
+                    continue  # only equal sets link, and these are one node
+                spare = d // 16
+                parts = d + 1 + spare
+                at = np.searchsorted(s, self._cuts(parts))
+                start, end = np.concatenate([[0], at]), np.concatenate([at, [n]])
+                key = (sums[end] - sums[start]) ^ (np.arange(parts, dtype=np.uint64) + np.uint64(band << 40)) * np.uint64(MIX[1])
+                key = (key ^ (key >> np.uint64(29))) * np.uint64(MIX[0])
+                key ^= key >> np.uint64(32)
+                key = (key & ~np.uint64(1)) | np.uint64(band == own)
+                filled = end > start
+                # at least spare + 1 parts are the same; only if all these are empty are empty parts needed
+                out.append(key[filled] if parts - int(filled.sum()) <= spare else key)
+        return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+
+    def _cuts(self, parts: int) -> np.ndarray:
+        if parts not in self._edges:
+            if len(self._edges) >= 64:
+                self._edges.clear()
+            self._edges[parts] = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+        return self._edges[parts]
+
+
+def _described(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """id, fp (hash of the text), n, sig (16 bytes that name the set), node (its first 8) and keys.
+
+    Of equal sets in a task only the first has keys, so a group of copies has no more than the number of tasks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
+        words, bands, seen = _Words(), Bands(percent), set()
         for batch in batches:
-            n, sigs, keys = [], [], []
-            for text in batch.column(2).to_pylist():
-                s = shingles(text, k, words)
-                n.append(len(s))
-                sigs.append(xxhash.xxh3_128_digest(s.tobytes()))
-                keys.append(band_keys(s, a, b, bands) if len(s) else np.zeros(0, np.int64))
-            sizes = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            nodes = pa.array([int.from_bytes(x[:8], "big", signed=True) for x in sigs], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), nodes, lists],
-                ["id", "fp", "n", "sig", "node", "keys"],
-            )
+            for at in range(0, len(batch), 1000):
+                part = batch.slice(at, 1000)
+                n, sigs, keys = [], [], []
+                for text in part.column(2):
+                    s = shingles(text.as_py(), k, words)
+                    n.append(len(s))
+                    sigs.append(sig := xxhash.xxh3_128_digest(s.tobytes()))
+                    keys.append(np.zeros(0, np.int64) if sig in seen else bands.keys(s))
+                    if len(seen) >= _CACHED:
+                        seen.clear()
+                    seen.add(sig)
+                sizes = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(keys)))
+                nodes = pa.array([int.from_bytes(x[:8], "big", signed=True) for x in sigs], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(sigs, pa.binary()), nodes, lists],
+                    ["id", "fp", "n", "sig", "node", "keys"],
+                )
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(q(id_col).alias("id"), F.xxhash64(q(text_col)).alias("fp"), q(text_col).alias("text")).mapInArrow(
@@ -107,6 +156,23 @@ def _described(df: DataFrame, id_col: str, text_col: str, k: int, bands: int, ro
     )
 
 
+def _clusters(docs: DataFrame) -> DataFrame:
+    """(node, label) of the nodes that share a key with another one.
+
+    Rows of one key are sorted, those of the key's own band first, and joined to
+    the first; they stream through a task, narrow, however many they are.
+    """
+    key = F.explode("keys")
+    keyed = docs.select("node", key.alias("raw")).select(
+        "node", F.expr("raw & ~1L").alias("key"), F.expr("cast(raw & 1L as int)").alias("own")
+    )
+    first = Window.partitionBy("key").orderBy(F.desc("own"), "node")
+    met = keyed.select(
+        F.col("node").alias("u"), F.first("node").over(first).alias("v"), F.first("own").over(first).alias("matters")
+    )
+    return components(met.where("matters = 1 and u <> v").select("u", "v"))
+
+
 def overlap_enough(common, a, b, percent: int):
     """100 * intersection >= percent * union."""
     return 100 * common >= percent * (a + b - common)
@@ -181,37 +247,44 @@ def _tiles(members: DataFrame, k: int, percent: int) -> DataFrame:
     return placed.mapInArrow(run, "u binary, v binary")
 
 
-def _giants(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links in clusters too large for one tile.  nodes: cluster, sig, n; texts: sig, text."""
+def _tiled(sets: DataFrame, percent: int) -> DataFrame:
+    """``sets`` (cluster, sig, n) plus band and tile; a cluster that fits one tile has one band.
+
+    Also ``tiles``, the number of the cluster's tiles.
+    """
     step = float(np.log(100 / percent))
-    banded = nodes.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(step) + 1e-9).cast("int"))
-
-    def tiled(some: DataFrame, name: str) -> DataFrame:
-        """Rows with ``name``: the number of their tile in the cluster and band."""
-        sizes = some.groupBy("cluster", "band").agg(
-            F.greatest(
-                F.ceil(F.count(F.lit(1)) / F.lit(TILE_DOCS // 2)), F.ceil(F.sum("n") / F.lit(TILE_SHINGLES // 2))
-            ).alias("tiles")
-        )
-        return some.join(sizes, ["cluster", "band"]).withColumn(name, F.pmod(F.xxhash64("sig"), F.col("tiles"))).drop("tiles")
+    many = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(TILE_DOCS)), F.ceil(F.sum("n") / F.lit(TILE_SHINGLES)))
+    whole = sets.groupBy("cluster").agg(many.alias("needed"))
+    band = F.when(F.col("needed") > 1, F.floor(F.log(F.col("n").cast("double")) / F.lit(step) + 1e-9)).otherwise(F.lit(0))
+    banded = sets.join(whole, "cluster").withColumn("band", band.cast("int"))
+    of_band = banded.groupBy("cluster", "band").agg(many.alias("in_band"))
+    return banded.join(of_band, ["cluster", "band"]).select(
+        "cluster", "sig", "n", "band", F.pmod(F.xxhash64("sig"), F.col("in_band")).alias("tile"), F.col("needed").alias("tiles")
+    )
 
+
+def _links(held: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (u, v) within the clusters, enough of them for the components.  held: cluster, sig, n, text."""
+    texts = held.select("sig", "text")
+    all_ = materialize(_tiled(held.select("cluster", "sig", "n"), percent), "tiles")
+    cut = all_.where("tiles > 1")
     around = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
-    all_ = tiled(banded, "tile")
-    hubs = _least(banded, HUBS)
-    meets = hubs.select("cluster", around.alias("band"), F.col("sig").alias("hub"))
-    tiles = all_.select("cluster", "band", "tile").distinct()
+    meets = _least(cut, HUBS).select("cluster", around.alias("band"), F.col("sig").alias("hub"))
+    task = F.xxhash64("cluster", "band", "tile").alias("task")
     none = F.lit(None).cast("binary").alias("known")
-    first = all_.select(F.xxhash64("cluster", "band", "tile").alias("task"), F.lit(1).alias("side"), "sig", none).unionByName(
-        tiles.join(meets, ["cluster", "band"]).select(
-            F.xxhash64("cluster", "band", "tile").alias("task"), F.lit(2).alias("side"), F.col("hub").alias("sig"), none
-        )
+    first = all_.select(task, F.lit(0).alias("side"), "sig", none).unionByName(
+        cut.select("cluster", "band", "tile")
+        .distinct()
+        .join(meets, ["cluster", "band"])
+        .select(task, F.lit(2).alias("side"), F.col("hub").alias("sig"), none)
     )
-    links = materialize(_tiles(first.join(texts, "sig"), k, percent), "hub-links")
+    links = materialize(_tiles(first.join(texts, "sig"), k, percent), "links")
+    labels = components(links)
     known = materialize(
-        all_.join(components(links).select(F.col("node").alias("sig"), "label"), "sig", "left").select(
-            "cluster", "band", "tile", "sig", "n", F.coalesce("label", "sig").alias("known")
+        cut.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").select(
+            "cluster", "band", "tile", "sig", F.coalesce("label", "sig").alias("known")
         ),
-        "hub-known",
+        "known",
     )
     largest = (
         known.groupBy("cluster", "known")
@@ -219,20 +292,24 @@ def _giants(nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
         .groupBy("cluster")
         .agg(F.max_by("known", F.struct("c", "known")).alias("main"))
     )
-    rest = tiled(known.join(largest, "cluster").where("known <> main").select("cluster", "band", "sig", "n", "known"), "other")
-    # every other against all: tasks are pairs of a tile of the others and a tile of all
+    rest = known.join(largest, "cluster").where("known <> main").drop("main")
+    # a tile with sets outside the largest component against the other tiles that may hold what links with them
+    tiles = known.select("cluster", "band", "tile").distinct()
     pairs = (
-        rest.select("cluster", F.col("band").alias("other_band"), "other", around.alias("band"))
+        rest.select("cluster", F.col("band").alias("from_band"), F.col("tile").alias("from_tile"), around.alias("band"))
         .distinct()
-        .join(known.select("cluster", "band", "tile").distinct(), ["cluster", "band"])
-        .withColumn("task", F.xxhash64("cluster", "other_band", "other", "band", "tile"))
+        .join(tiles, ["cluster", "band"])
+        .where("band <> from_band or tile <> from_tile")
+        .withColumn("task", F.xxhash64("cluster", "from_band", "from_tile", "band", "tile"))
     )
+    from_ = rest.withColumnsRenamed({"band": "from_band", "tile": "from_tile"})
     second = (
-        pairs.join(rest.withColumnRenamed("band", "other_band"), ["cluster", "other_band", "other"])
+        pairs.join(from_, ["cluster", "from_band", "from_tile"])
         .select("task", F.lit(1).alias("side"), "sig", "known")
         .unionByName(pairs.join(known, ["cluster", "band", "tile"]).select("task", F.lit(2).alias("side"), "sig", "known"))
     )
-    return links.unionByName(_tiles(second.join(texts, "sig"), k, percent))
+    more = _tiles(second.join(texts, "sig"), k, percent)
+    return labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more)
 
 
 def _least(banded: DataFrame, count: int) -> DataFrame:
@@ -245,13 +322,7 @@ def _least(banded: DataFrame, count: int) -> DataFrame:
 
 
 def jaccard_components(
-    df: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    k: int = 5,
-    percent: int = 80,
-    bands: int = 40,
-    rows: int = 6,
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80
 ) -> DataFrame:
     """One row per input row: id, n_shingles and component_id, the smallest id reachable by links.
 
@@ -260,10 +331,10 @@ def jaccard_components(
     texts have empty sets and link with nothing, each its own component (a null
     id with an empty text has a null component); a null id never is a
     component_id unless all ids of the component are null; rows that repeat an
-    id and a text are one; an empty table gives an empty result; other columns
-    are not read.
+    id and a text are one; an empty table gives an empty result; a text of any
+    length is one set; other columns are not read.
     """
-    docs = materialize(_described(df, id_col, text_col, k, bands, rows), "shingled")
+    docs = materialize(_described(df, id_col, text_col, k, percent), "shingled")
     nodes = (
         docs.where("n > 0")
         .groupBy("sig")
@@ -272,37 +343,20 @@ def jaccard_components(
             F.first("n").alias("n"),
             F.first("node").alias("node"),
             F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "fp")).alias("holder"),
-            F.first("keys").alias("keys"),
         )
     )
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("most")).where("v <> most")
-    clusters = components(keyed.join(shared.select("key", "v"), "key").select(F.col("node").alias("u"), "v"))
-    member = materialize(
-        nodes.join(clusters, "node").select(F.col("label").alias("cluster"), "sig", "n", "holder"), "clusters"
-    )
-    sizes = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
-    small = (F.col("docs") <= TILE_DOCS) & (F.col("shingles") <= TILE_SHINGLES)
-    wanted = member.join(sizes, "cluster").select(
-        "cluster", "sig", "n", small.alias("small"), F.col("holder.id").alias("hid"), F.col("holder.fp").alias("hfp")
+    member = nodes.join(_clusters(docs), "node").select(
+        F.col("label").alias("cluster"), "sig", "n", F.col("holder.id").alias("hid"), F.col("holder.fp").alias("hfp")
     )
     texts = df.select(q(id_col).alias("id"), F.xxhash64(q(text_col)).alias("fp"), q(text_col).alias("text"))
+    # the members grow with the table, so the join is the same at every size
     held = materialize(
-        wanted.join(texts, F.col("hid").eqNullSafe(F.col("id")) & (F.col("hfp") == F.col("fp"))).select(
-            "cluster", "sig", "n", "small", "text"
-        ),
+        member.join(texts.hint("shuffle_merge"), F.col("hid").eqNullSafe(F.col("id")) & (F.col("hfp") == F.col("fp")))
+        .groupBy("sig")
+        .agg(F.first("cluster").alias("cluster"), F.first("n").alias("n"), F.first("text").alias("text")),
         "members",
     )
-    one = held.where("small").select(
-        F.col("cluster").alias("task"), F.lit(0).alias("side"), "sig", F.lit(None).cast("binary").alias("known"), "text"
-    )
-    links = _tiles(one, k, percent)
-    large = held.where("not small")
-    if not large.isEmpty():
-        links = links.unionByName(
-            _giants(large.select("cluster", "sig", "n").distinct(), large.select("sig", "text").dropDuplicates(["sig"]), k, percent)
-        )
-    labels = components(links).select(F.col("node").alias("sig"), "label")
+    labels = components(_links(held, k, percent)).select(F.col("node").alias("sig"), "label")
     by_sig = nodes.select("sig", "least_id").join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     by_label = by_sig.groupBy("label").agg(F.min("least_id").alias("component_id"))
     named = by_sig.join(by_label, "label").select("sig", "component_id")
