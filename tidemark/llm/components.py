@@ -19,6 +19,15 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge to a node that has none: nothing is left to join."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.where("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the edges (u, v); label is the component's least node.
 
@@ -30,12 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
     cur = materialize(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
-    state = None
-    while True:
-        now = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state or not now[0]:
-            break
-        state = now
+    while not _are_stars(cur):
         done, cur = cur, materialize(_star(_star(cur, True), False), "edges")
         discard(done)
     return cur.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
