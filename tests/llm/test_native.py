@@ -6,8 +6,10 @@ import re
 
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm import exact_dedup
 from tidemark.llm.exact_dedup import drop_copies, exact_copies
 from tidemark.llm.line_dedup import dedup_blocks, dedup_lines
 from tidemark.llm.url_filter import judge_urls
@@ -23,7 +25,12 @@ def norm(t):
     return re.sub("[\x20\x09-\x0d]+", " ", t or "")
 
 
-def test_exact_copies_match_a_dictionary(spark):
+@pytest.mark.parametrize("told_apart_by", ["hash", "comparison"])
+@pytest.mark.parametrize("shares", [2, 10_000])
+def test_exact_copies_match_a_dictionary(spark, monkeypatch, told_apart_by, shares):
+    monkeypatch.setattr(exact_dedup, "SHARES", shares)
+    if told_apart_by == "comparison":  # all texts collide
+        monkeypatch.setattr(exact_dedup, "_fingerprint", lambda norm: F.when(norm.isNotNull(), F.lit(7)).cast("long"))
     rng = random.Random(1)
     texts = ["", None, " ", "a b", "a\tb", "a \n b", "A b", "a\u00a0b", "x" * 50000, "x" * 50000 + "y"] + [
         " ".join(rng.choices("abc", k=rng.randint(0, 4))) for _ in range(60)
