@@ -1,11 +1,12 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
-Targets come from the weights by water-filling.  The words of a source are laid
-out, shard by shard, as blocks of ``block_words`` words; the sources' targets,
-and within a source its shards' sizes, are turned into integer numbers of
-blocks by highest quotients votes / (2 seats + 1).  A quota of q of a shard's n
-blocks takes each block q // n times and q % n of them, chosen by a seeded
-permutation, once more.
+Targets come from the weights by water-filling.  The sum of the targets is given
+out in equal blocks of ``unit_words`` words: to the sources by their targets,
+and within a source to its shards by their sizes, each by highest quotients
+votes / (2 seats + 1).  So every shard has an integer quota before anything is
+selected.  The words of a shard are laid out in stretches of ``block_words``; a
+quota of q of its n words takes each word q // n times, and q % n words once
+more: stretches chosen by a seeded permutation, the last one cut to what is left.
 
 Everything is expressed over DataFrames.  Texts are shuffled once at most, by
 (source, bucket), where a bucket is a hash of the id: a source that holds a
@@ -99,12 +100,9 @@ def cyclic_weights(sources: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> Da
     return sources.withColumn("weight", F.get(F.array(*[F.lit(w) for w in cycle]), (rank % len(cycle)).cast("int")))
 
 
-def _chosen(block: Column) -> Column:
-    """How often a block of the row's shard is taken."""
-    n = F.greatest(F.col("_blocks"), F.lit(1).cast("long"))
-    # a prime above n times the block number, plus a shift, modulo n: each block another place
-    place = F.pmod(F.pmod(F.col("_prime"), n) * block + F.pmod(F.col("_shift"), n), n)
-    return F.floor(F.col("_quota") / n).cast("long") + F.when(place < F.pmod(F.col("_quota"), n), 1).otherwise(0).cast("long")
+def _place(block: Column, blocks: Column) -> Column:
+    """The turn at which a stretch of a shard is chosen: a prime times its number, plus a shift, modulo their number."""
+    return F.pmod(F.pmod(F.col("_prime"), blocks) * block + F.pmod(F.col("_shift"), blocks), blocks)
 
 
 def mix(
@@ -115,6 +113,7 @@ def mix(
     weights=cyclic_weights,
     limit: int = 3,
     block_words: int = 32,
+    unit_words: int = 1,
     shard_words: int = 1 << 20,
     seed: int = 17,
     carry: list[str] | None = None,
@@ -127,8 +126,10 @@ def mix(
 
     Defined cases: a null text has size 0, is never taken and has no spans; a
     null source is a source of its own, ordered last; rows that repeat an id
-    lie next to each other; an empty table gives an empty result; carried
-    columns named like a result are replaced.
+    lie next to each other, by size and a hash of the text; rows alike in all of
+    these are alike in the mix up to order; an empty table gives an empty result;
+    a text of any length is cut like any other; carried columns named like a
+    result are replaced.
     """
     results = ["size", "source_size", "target", "taken", "spans"]
     names = [c for c in (carry if carry is not None else df.columns) if c not in results]
@@ -140,6 +141,7 @@ def mix(
         q(source_col).isNull().cast("int").alias("no_src"),
         F.pmod(F.xxhash64(q(id_col), F.lit(seed)), F.lit(BUCKETS)).cast("int").alias("bucket"),
         word_count(q(text_col)).alias("size"),
+        F.xxhash64(q(text_col)).alias("_text"),
     )
     place = ["no_src", "src"]
     fine = materialize(rows.groupBy(*place, "bucket").agg(F.sum("size").alias("bucket_words")), "mix-buckets")
@@ -149,7 +151,7 @@ def mix(
     total = Window.partitionBy(F.lit(0))
     seated = sainte_lague(
         aimed.withColumn("_one", F.lit(0)).withColumn(
-            "_seats", F.round(F.sum("target").over(total) / F.lit(block_words)).cast("long")
+            "_seats", F.round(F.sum("target").over(total) / F.lit(unit_words)).cast("long")
         ),
         ["_one"],
         place,
@@ -169,8 +171,8 @@ def mix(
     quotas = sainte_lague(shards, place, ["shard"], "shard_size", "seats").select(
         *place,
         "shard",
-        F.ceil(F.col("shard_size") / F.lit(block_words)).cast("long").alias("_blocks"),
-        F.col("quota"),
+        "shard_size",
+        (F.col("quota") * unit_words).alias("quota"),
     )
     primes = F.array(*[F.lit(p).cast("long") for p in PRIMES])
     draw = F.xxhash64("src", "no_src", "shard", F.lit(seed))
@@ -181,31 +183,43 @@ def mix(
             "bucket_start",
             "source_size",
             "target",
-            "_blocks",
-            F.least("quota", F.col("_blocks") * limit).alias("_quota"),
+            "shard_size",
+            F.least("quota", F.col("shard_size") * limit).alias("_quota"),
             F.get(primes, F.pmod(draw, F.lit(len(PRIMES))).cast("int")).alias("_prime"),
             F.pmod(F.shiftright(draw, 8), F.lit(PRIMES[0])).alias("_shift"),
         ),
         "mix-quotas",
     )
 
-    in_bucket = Window.partitionBy(*place, "bucket").orderBy(sid, "size").rowsBetween(Window.unboundedPreceding, -1)
+    in_bucket = Window.partitionBy(*place, "bucket").orderBy(sid, "size", "_text").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.join(buckets, [*place, "bucket"]).withColumn(
         "_start", F.col("bucket_start") + F.coalesce(F.sum("size").over(in_bucket), F.lit(0))
     )
     b = F.lit(block_words).cast("long")
-    end = F.col("_start") + F.col("size")
-    first, last = F.floor(F.col("_start") / b).cast("long"), F.floor((end - 1) / b).cast("long")
+    start, end, words = F.col("_start"), F.col("_start") + F.col("size"), F.greatest(F.col("shard_size"), F.lit(1))
+    blocks = F.ceil(words / b).cast("long")
+    times, more = F.floor(F.col("_quota") / words).cast("long"), F.pmod(F.col("_quota"), words)
+    short = blocks * b - words  # what the last stretch of a shard lacks
+
+    def spans_of(k: Column) -> Column:
+        """The words of stretch k that are taken once more than the others, and those others, as spans of the row."""
+        turn = _place(k, blocks)
+        before = turn * b - F.when(turn > _place(blocks - 1, blocks), short).otherwise(F.lit(0))
+        at, to = k * b, F.least((k + 1) * b, words)
+        cut = at + F.greatest(F.least(more - before, to - at), F.lit(0))
+
+        def span(s: Column, e: Column, n: Column) -> Column:
+            return F.struct(
+                F.greatest(s - start, F.lit(0)).cast("long").alias("from"),
+                F.least(e - start, F.col("size")).cast("long").alias("to"),
+                n.cast("long").alias("times"),
+            )
+
+        return F.array(span(at, cut, times + 1), span(cut, to, times))
+
+    first, last = F.floor(start / b).cast("long"), F.floor((end - 1) / b).cast("long")
     spans = F.filter(
-        F.transform(
-            F.sequence(first, last),
-            lambda k: F.struct(
-                F.greatest(k * b - F.col("_start"), F.lit(0)).cast("long").alias("from"),
-                F.least((k + 1) * b - F.col("_start"), F.col("size")).cast("long").alias("to"),
-                _chosen(k).alias("times"),
-            ),
-        ),
-        lambda s: s["times"] > 0,
+        F.flatten(F.transform(F.sequence(first, last), spans_of)), lambda s: (s["times"] > 0) & (s["to"] > s["from"])
     )
     none = F.expr("cast(array() as array<struct<from:bigint,to:bigint,times:bigint>>)")
     chosen = placed.withColumn("spans", F.when(F.col("size") > 0, spans).otherwise(none))
