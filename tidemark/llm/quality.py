@@ -43,7 +43,7 @@ def features(text: str | None, bits: int, orders: int = 2) -> tuple[np.ndarray,
 class Ftrl:
     """Follow-the-regularised-leader with a learning rate per coordinate; the last coordinate is the bias."""
 
-    def __init__(self, bits: int, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-2):
+    def __init__(self, bits: int, alpha: float = 2.0, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-2):
         self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
 
@@ -69,14 +69,14 @@ def fit_quality(
     label_col: str = "quality",
     max_rows: int = 16384,
     bits: int = 18,
-    epochs: int = 3,
+    epochs: int = 6,
 ) -> np.ndarray:
     """Weights of the n-grams, the bias last.
 
     Learns from at most ``max_rows`` labelled ids, those with the smallest hash:
     the choice depends on nothing but the ids.  Labels other than 0 and 1 and
-    null ids are passed over; of an id's labels the smallest counts; without
-    labels all weights are 0 and every score is 0.5.
+    null ids are passed over; of an id's labels and of its texts the smallest
+    count; without labels all weights are 0 and every score is 0.5.
     """
     chosen = (
         labels.where(q(label_col).isin(0, 1) & q(id_col).isNotNull())
@@ -88,11 +88,14 @@ def fit_quality(
     rows = (
         df.select(q(id_col).alias("rid"), q(text_col).alias("text"))
         .join(F.broadcast(chosen), F.col("rid") == F.col("lid"))  # at most max_rows ids
+        .groupBy("lid")
+        .agg(F.min("text").alias("text"), F.first("y").alias("y"))
         .select(F.xxhash64("lid").alias("h"), "lid", "text", "y")
         .repartition(1)
         .sortWithinPartitions("h", "lid", "text")
     )
 
+    # max_rows rows at most
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, seen = Ftrl(bits), []
         for batch in batches:

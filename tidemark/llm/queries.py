@@ -71,8 +71,8 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return resolve_revisits(pages_as_records(pages)).select(
-        ((F.col("record_id") - 1) / 2).cast("long").alias("page_id"),
-        (F.col("refers_to") / 2).cast("long").alias("response_of"),
+        F.expr("(record_id - 1) div 2").alias("page_id"),
+        F.expr("refers_to div 2").alias("response_of"),
         "state",
         F.array_join(
             F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "\n"

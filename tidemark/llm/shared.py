@@ -13,18 +13,20 @@ SPACE = "[\\x20\\x09-\\x0D]"
 WORD = "[^\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Used only where the session names no checkpoint directory (tests, notebooks).
+#: Used only by a local session that names no checkpoint directory (tests, notebooks).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/tidemark"
 
 _written: list[tuple[SparkSession, str]] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names, or a local one where it names none."""
+    """The shared folder the session names; a local session that names none gets a local one."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(LOCAL_CHECKPOINTS)
     return LOCAL_CHECKPOINTS
 
@@ -52,6 +54,17 @@ def discard(df: DataFrame) -> None:
             _written.remove(entry)
 
 
+def settled(build, name: str) -> DataFrame:
+    """``build()`` materialized, and what it materialized on the way, and reads no more, removed."""
+    before = {path for _, path in _written}
+    out = materialize(build(), name)
+    for entry in _written[:-1]:
+        if entry[1] not in before:
+            _remove(*entry)
+            _written.remove(entry)
+    return out
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

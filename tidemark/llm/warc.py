@@ -65,8 +65,8 @@ def resolve_revisits(records: DataFrame, slot_width: int = 4096, payload_col: st
     Defined cases: a response at the revisit's own time is not earlier; of
     responses at one time the one with the largest record_id is the latest; a
     null url or time joins nothing; null headers are empty; other kinds and
-    other columns are passed over; rows that repeat a response refer alike;
-    an empty table gives an empty result.
+    other columns are passed over; rows that repeat a response refer alike,
+    and of their payloads the smallest counts; an empty table gives an empty result.
     """
     key = canonical_url(q("url"))
     rows = records.where(q("kind").isin("response", "revisit")).select(
@@ -133,8 +133,8 @@ def resolve_revisits(records: DataFrame, slot_width: int = 4096, payload_col: st
         return out
     bodies = (
         records.where(q("kind") == "response")
-        .select(F.col("record_id").alias("body_of"), q(payload_col).alias("payload"))
-        .dropDuplicates(["body_of"])
+        .groupBy(F.col("record_id").alias("body_of"))
+        .agg(F.min(q(payload_col)).alias("payload"))
     )
     return out.join(bodies, good & (F.col("refers_to") == F.col("body_of")), "left").drop("body_of")
 
