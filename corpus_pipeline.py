@@ -7,6 +7,8 @@ All but the last return the columns of documents.
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from tidemark.llm.line_dedup import dedup_blocks
 from tidemark.llm.mixing import mix, mixed_texts
 from tidemark.llm.ngram_join import jaccard_components
 from tidemark.llm.quality import fit_quality, keep_quality
-from tidemark.llm.shared import materialize, table
+from tidemark.llm.shared import discard, settled, table
 
 
 def _with_length(docs: DataFrame) -> DataFrame:
@@ -35,7 +37,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates (5 words, 0.8) the document with the smallest id stays."""
+    """Of each component of near duplicates (5 words, 0.8) the document with the smallest id stays.
+
+    Rows that repeat the id that stays all stay; so do rows without an id where
+    a component has no other, or where they have no words.
+    """
     found = jaccard_components(docs, k=5, percent=80)
     stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
     return docs.join(stay, docs["doc_id"].eqNullSafe(stay["kept_id"]), "left_semi")
@@ -72,6 +78,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    done = None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = settled(partial(stage, spark, docs, sf_dir), f"stage-{name}")
+        if done is not None:
+            discard(done)
+        done = docs
     return STAGES[-1][1](spark, docs, sf_dir)
