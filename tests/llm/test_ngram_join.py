@@ -8,7 +8,7 @@ import pytest
 
 from tidemark.llm import ngram_join
 from tidemark.llm.components import components
-from tidemark.llm.ngram_join import Bands, jaccard_components
+from tidemark.llm.ngram_join import jaccard_components, keys_of
 
 
 def brute(rows, k, percent):
@@ -97,8 +97,9 @@ def test_a_large_cluster_that_does_not_link(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("percent", [80, 85, 50])
-def test_sets_that_link_share_a_key_of_a_band(percent):
-    rng, bands = np.random.default_rng(percent), Bands(percent)
+def test_sets_that_link_share_a_key(percent):
+    rng = np.random.default_rng(percent)
+    counts = rng.integers(0, 4, ngram_join.SLOTS).astype(np.uint32)
     for _ in range(3000):
         n = int(rng.integers(1, rng.choice([8, 40, 400, 3000])))
         a = rng.integers(0, 2**64, n, dtype=np.uint64)
@@ -108,10 +109,9 @@ def test_sets_that_link_share_a_key_of_a_band(percent):
         b = np.unique(np.concatenate([a[:common], rng.integers(0, 2**64, extra, dtype=np.uint64)]))
         a = np.unique(a)
         if 100 * common >= percent * (len(a) + len(b) - common) and not np.array_equal(a, b):
-            one, two = bands.keys(a), bands.keys(b)
-            met = np.intersect1d(one & ~1, two & ~1)
-            assert len(met)
-            assert {k & ~1 for k in (*one.tolist(), *two.tolist()) if k & 1} & set(met.tolist())
+            one, two = (keys_of(x, counts, percent) for x in (a, b))
+            met = set((one & ~1).tolist()) & set((two & ~1).tolist())
+            assert met & {k & ~1 for k in (*one.tolist(), *two.tolist()) if k & 1}
 
 
 def test_components_by_rounds(spark):

@@ -1,18 +1,20 @@
 """N-gram Jaccard join in size-banded tiles with bitmap signatures.
 
-Documents become sets of hashed word shingles; equal sets are one node.  Sets
-are put into bands by size, such that only sets of one band or of neighbouring
-ones can link.  Two that link, the larger one in a given band, differ in no
-more than d shingles, d following from the band and the bound.  So each set is
-cut by hash into more than d parts, as many as its band asks for: of two that
-link some part is the same in both, and the sums of the parts are the keys by
-which sets meet.  No link is lost, and no key depends on other documents.
+Documents become sets of hashed word shingles; equal sets are one node.  All
+sets are put into one order of shingles: by how often a table of ``SLOTS``
+counters has met a shingle's slot, rarest first, then by hash.  In any fixed
+order two sets that link share a shingle among the first
+n - ceil(percent * n / 100) + 1 of each, and the smaller one has it even among
+its first n - ceil(2 * percent * n / (100 + percent)) + 1.  These first shingles
+are the keys by which sets meet, so no link is lost whatever the counters say;
+rarest first, lines and phrases that many texts share make no keys.
 
 The connected components of "shares a key" are the clusters.  A cluster is cut
 into tiles of bounded size, by band and hash where one does not do.  A first
 round holds all sets of a tile against each other and against a few hubs of the
-neighbouring tiles; a second one meets pairs of tiles only where one side is
-not yet in the cluster's largest component.
+neighbouring tiles; a second one meets pairs of tiles, of those sets only that
+share a key with a set of another component, and only where one side is not yet
+in the cluster's largest component.
 
 In a tile each set has a bitmap of hashed shingles.  The set bits in which two
 differ bound the overlap from above; pairs that pass, and are not connected
@@ -21,7 +23,6 @@ yet, are intersected exactly as sorted arrays.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,9 @@ from .shared import materialize, q
 
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 #: Limits of a tile, and the hubs of a band.
-TILE_DOCS, TILE_SHINGLES, HUBS = 2000, 4_000_000, 32
+TILE_DOCS, TILE_SHINGLES, HUBS = 4000, 3_000_000, 32
+#: Counters of shingles, a power of two, and how many are sent together.
+SLOTS, _BLOCK = 1 << 22, 1 << 14
 _CACHED = 400_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -68,58 +71,68 @@ def shingles(text: str | None, k: int, words: dict) -> np.ndarray:
     return np.unique(out)
 
 
-class Bands:
-    """Bands of set sizes, and into how many parts a set is cut to meet those whose larger one is of a band."""
-
-    def __init__(self, percent: int):
-        self.percent = percent
-        self.starts = [1]
-        self._edges: dict[int, np.ndarray] = {}
-
-    def of(self, n: int) -> int:
-        """The band of a size; a size and one that links with it lie in the same or in neighbouring bands."""
-        while self.starts[-1] <= n:  # the next one starts where two steps of the bound have been made
-            self.starts.append(-(-self.starts[-1] * 10000 // self.percent**2) + 1)
-        return bisect_right(self.starts, n) - 1
-
-    def differences(self, band: int) -> int:
-        """The most shingles in which two that link can differ, the larger one in ``band``."""
-        self.of(self.starts[-1])
-        return 2 * (self.starts[band + 1] - 1) * (100 - self.percent) // (100 + self.percent)
-
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        """Keys of a sorted set, the last bit set in those of its own band, which a key must have to matter."""
-        n, out = len(s), []
-        own = self.of(n)
-        if not n:
-            return np.zeros(0, np.int64)
-        with np.errstate(over="ignore"):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((s ^ (s >> np.uint64(31))) * np.uint64(MIX[2]), dtype=np.uint64)])
-            for band in (own, own + 1):
-                if band > own and 100 * n < self.percent * self.starts[band]:
-                    continue
-                d = self.differences(band)
-                if not d:
-                    continue  # only equal sets link, and these are one node
-                spare = d // 16
-                parts = d + 1 + spare
-                at = np.searchsorted(s, self._cuts(parts))
-                start, end = np.concatenate([[0], at]), np.concatenate([at, [n]])
-                key = (sums[end] - sums[start]) ^ (np.arange(parts, dtype=np.uint64) + np.uint64(band << 40)) * np.uint64(MIX[1])
-                key = (key ^ (key >> np.uint64(29))) * np.uint64(MIX[0])
-                key ^= key >> np.uint64(32)
-                key = (key & ~np.uint64(1)) | np.uint64(band == own)
-                filled = end > start
-                # at least spare + 1 parts are the same; only if all these are empty are empty parts needed
-                out.append(key[filled] if parts - int(filled.sum()) <= spare else key)
-        return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
-
-    def _cuts(self, parts: int) -> np.ndarray:
-        if parts not in self._edges:
-            if len(self._edges) >= 64:
-                self._edges.clear()
-            self._edges[parts] = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
-        return self._edges[parts]
+def keys_of(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a sorted set; the last bit is set in those that a larger partner must share one of."""
+    n = len(s)
+    if not n:
+        return np.zeros(0, np.int64)
+    rank = (counts[_slots(s)].astype(np.uint64) << np.uint64(32)) | (s >> np.uint64(32))
+    first = s[np.argsort(rank, kind="stable")[: n + 1 + -percent * n // 100]]
+    sure = n + 1 + -2 * percent * n // (100 + percent)
+    return ((first & ~np.uint64(1)) | (np.arange(len(first)) < sure).astype(np.uint64)).view(np.int64)
+
+
+def _slots(s: np.ndarray) -> np.ndarray:
+    return ((s * np.uint64(MIX[1])) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def _counts(df: DataFrame, text_col: str, k: int) -> np.ndarray:
+    """How many sets have a shingle of each slot; of equal sets in a task the first counts.
+
+    Each task gives its table in blocks, a count of 255 and more as 255, which
+    are added up by block: what comes to the driver is ``SLOTS`` numbers at any
+    size of the input.  The counts only order the shingles.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, seen, table = _Words(), _Seen(), np.zeros(SLOTS, np.uint32)
+        for batch in batches:
+            for text in batch.column(0):
+                s = shingles(text.as_py(), k, words)
+                if seen.new(xxhash.xxh3_128_digest(s.tobytes())):
+                    np.add.at(table, _slots(s), np.uint32(1))
+        parts = table.reshape(-1, _BLOCK)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some, pa.int32()), pa.array([parts[i].clip(max=255).astype(np.uint8).tobytes() for i in some], pa.binary())], ["block", "counts"]
+        )
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total = held.setdefault(block, np.zeros(_BLOCK, np.uint64))
+                total += np.frombuffer(counts, np.uint8)
+        data = [c.clip(max=2**32 - 1).astype(np.uint32).tobytes() for c in held.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(data, pa.binary())], ["block", "counts"])
+
+    kind = "block int, counts binary"
+    out = np.zeros(SLOTS, np.uint32)
+    for row in df.select(q(text_col)).mapInArrow(run, kind).repartition("block").mapInArrow(add, kind).collect():
+        out[row.block * _BLOCK : (row.block + 1) * _BLOCK] = np.frombuffer(row.counts, np.uint32)
+    return out
+
+
+class _Seen(set):
+    """Names a task has met, as many as it can keep."""
+
+    def new(self, name: bytes) -> bool:
+        if name in self:
+            return False
+        if len(self) >= _CACHED:
+            self.clear()
+        self.add(name)
+        return True
 
 
 def _described(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
@@ -128,8 +141,10 @@ def _described(df: DataFrame, id_col: str, text_col: str, k: int, percent: int)
     Of equal sets in a task only the first has keys, so a group of copies has no more than the number of tasks.
     """
 
+    held = df.sparkSession.sparkContext.broadcast(_counts(df, text_col, k))  # SLOTS numbers
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, bands, seen = _Words(), Bands(percent), set()
+        words, seen, counts = _Words(), _Seen(), held.value
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
@@ -138,10 +153,7 @@ def _described(df: DataFrame, id_col: str, text_col: str, k: int, percent: int)
                     s = shingles(text.as_py(), k, words)
                     n.append(len(s))
                     sigs.append(sig := xxhash.xxh3_128_digest(s.tobytes()))
-                    keys.append(np.zeros(0, np.int64) if sig in seen else bands.keys(s))
-                    if len(seen) >= _CACHED:
-                        seen.clear()
-                    seen.add(sig)
+                    keys.append(keys_of(s, counts, percent) if seen.new(sig) else np.zeros(0, np.int64))
                 sizes = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(keys)))
                 nodes = pa.array([int.from_bytes(x[:8], "big", signed=True) for x in sigs], pa.int64())
@@ -156,21 +168,21 @@ def _described(df: DataFrame, id_col: str, text_col: str, k: int, percent: int)
     )
 
 
-def _clusters(docs: DataFrame) -> DataFrame:
-    """(node, label) of the nodes that share a key with another one.
+def _shared(docs: DataFrame) -> DataFrame:
+    """(key, u, v) of the nodes u that share a key with another one, v the first of them.
 
-    Rows of one key are sorted, those of the key's own band first, and joined to
-    the first; they stream through a task, narrow, however many they are.
+    Rows of one key are sorted, those with the last bit first, and joined to the
+    first; they stream through a task, narrow, however many they are.
     """
     key = F.explode("keys")
     keyed = docs.select("node", key.alias("raw")).select(
-        "node", F.expr("raw & ~1L").alias("key"), F.expr("cast(raw & 1L as int)").alias("own")
+        "node", F.expr("raw & ~1L").alias("key"), F.expr("cast(raw & 1L as int)").alias("sure")
     )
-    first = Window.partitionBy("key").orderBy(F.desc("own"), "node")
+    first = Window.partitionBy("key").orderBy(F.desc("sure"), "node")
     met = keyed.select(
-        F.col("node").alias("u"), F.first("node").over(first).alias("v"), F.first("own").over(first).alias("matters")
+        "key", F.col("node").alias("u"), F.first("node").over(first).alias("v"), F.first("sure").over(first).alias("matters")
     )
-    return components(met.where("matters = 1 and u <> v").select("u", "v"))
+    return materialize(met.where("matters = 1 and u <> v").select("key", "u", "v"), "shared-keys")
 
 
 def overlap_enough(common, a, b, percent: int):
@@ -217,30 +229,30 @@ def _tiles(members: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (u, v) found in the tasks of ``members``: task, side (0: both, 1: left, 2: right), sig, known, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, task, held = _Words(), None, []
+        words, task = _Words(), None
+        found: dict[tuple[bytes, int], tuple[bytes | None, np.ndarray]] = {}
 
         def links() -> pa.RecordBatch:
-            found: dict[tuple[bytes, int], tuple] = {}
-            for sig, side, known, text in held:  # rows may repeat
-                found.setdefault((sig, side), (known, text))
             sigs = [key[0] for key in found]
             sides = np.array([key[1] for key in found])
             names: dict[bytes, int] = {}
             labels = np.array([names.setdefault(known or key[0], len(names)) for key, (known, _) in found.items()])
-            sets = [shingles(text, k, words) for _, text in found.values()]
+            sets = [s for _, s in found.values()]
             pairs = link_tile(sets, labels, np.flatnonzero(sides < 2), np.flatnonzero(sides != 1), percent) if sets else []
             return pa.RecordBatch.from_arrays(
                 [pa.array([sigs[i] for i, _ in pairs], pa.binary()), pa.array([sigs[j] for _, j in pairs], pa.binary())], ["u", "v"]
             )
 
         for batch in batches:
-            for t, side, sig, known, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for t, side, sig, known, text in zip(*[c.to_pylist() for c in batch.columns[:4]], batch.column(4), strict=True):
                 if t != task:
-                    if held:
+                    if found:
                         yield links()
-                    task, held = t, []
-                held.append((sig, side, known, text))
-        if held:
+                    task = t
+                    found.clear()
+                if (sig, side) not in found:  # rows may repeat
+                    found[sig, side] = known, shingles(text.as_py(), k, words)
+        if found:
             yield links()
 
     placed = members.select("task", "side", "sig", "known", "text").repartition("task").sortWithinPartitions("task")
@@ -259,14 +271,17 @@ def _tiled(sets: DataFrame, percent: int) -> DataFrame:
     banded = sets.join(whole, "cluster").withColumn("band", band.cast("int"))
     of_band = banded.groupBy("cluster", "band").agg(many.alias("in_band"))
     return banded.join(of_band, ["cluster", "band"]).select(
-        "cluster", "sig", "n", "band", F.pmod(F.xxhash64("sig"), F.col("in_band")).alias("tile"), F.col("needed").alias("tiles")
+        "cluster", "sig", "node", "n", "band", F.pmod(F.xxhash64("sig"), F.col("in_band")).alias("tile"), F.col("needed").alias("tiles")
     )
 
 
-def _links(held: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (u, v) within the clusters, enough of them for the components.  held: cluster, sig, n, text."""
+def _links(held: DataFrame, shared: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (u, v) within the clusters, enough of them for the components.
+
+    held: cluster, sig, node, n, text; shared: the keys that nodes share.
+    """
     texts = held.select("sig", "text")
-    all_ = materialize(_tiled(held.select("cluster", "sig", "n"), percent), "tiles")
+    all_ = materialize(_tiled(held.select("cluster", "sig", "node", "n"), percent), "tiles")
     cut = all_.where("tiles > 1")
     around = F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))
     meets = _least(cut, HUBS).select("cluster", around.alias("band"), F.col("sig").alias("hub"))
@@ -282,32 +297,41 @@ def _links(held: DataFrame, k: int, percent: int) -> DataFrame:
     labels = components(links)
     known = materialize(
         cut.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").select(
-            "cluster", "band", "tile", "sig", F.coalesce("label", "sig").alias("known")
+            "cluster", "band", "tile", "sig", "node", F.coalesce("label", "sig").alias("known")
         ),
         "known",
     )
+    # only those that share a key with a set of another component can link any more
+    members = shared.select("key", F.col("u").alias("node")).unionByName(shared.select("key", F.col("v").alias("node")).distinct())
+    members = members.join(known.select("node", "known"), "node")
+    mixed = members.groupBy("key").agg(F.min("known").alias("one"), F.max("known").alias("other")).where("one <> other")
+    active = members.join(mixed.select("key"), "key").select("node").distinct()
+    known = materialize(known.join(active, "node", "left_semi"), "active")
     largest = (
         known.groupBy("cluster", "known")
         .agg(F.count(F.lit(1)).alias("c"))
         .groupBy("cluster")
         .agg(F.max_by("known", F.struct("c", "known")).alias("main"))
     )
-    rest = known.join(largest, "cluster").where("known <> main").drop("main")
-    # a tile with sets outside the largest component against the other tiles that may hold what links with them
-    tiles = known.select("cluster", "band", "tile").distinct()
+    known = known.join(largest, "cluster").select("cluster", "band", "tile", "sig", "known", (F.col("known") != F.col("main")).alias("rest"))
+    tiles = known.groupBy("cluster", "band", "tile").agg(F.max("rest").alias("has"))
+    # every two tiles that may hold links, once, if one of them has sets outside the largest component
+    of_one, of_two = ({c: f"{c}_{i}" for c in ("band", "tile", "has")} for i in (1, 2))
     pairs = (
-        rest.select("cluster", F.col("band").alias("from_band"), F.col("tile").alias("from_tile"), around.alias("band"))
-        .distinct()
-        .join(tiles, ["cluster", "band"])
-        .where("band <> from_band or tile <> from_tile")
-        .withColumn("task", F.xxhash64("cluster", "from_band", "from_tile", "band", "tile"))
-    )
-    from_ = rest.withColumnsRenamed({"band": "from_band", "tile": "from_tile"})
-    second = (
-        pairs.join(from_, ["cluster", "from_band", "from_tile"])
-        .select("task", F.lit(1).alias("side"), "sig", "known")
-        .unionByName(pairs.join(known, ["cluster", "band", "tile"]).select("task", F.lit(2).alias("side"), "sig", "known"))
+        tiles.withColumnsRenamed(of_one)
+        .withColumn("band_2", F.explode(F.array(F.col("band_1"), F.col("band_1") + 1)))
+        .join(tiles.withColumnsRenamed(of_two), ["cluster", "band_2"])
+        .where("(band_2 > band_1 or tile_2 > tile_1) and (has_1 or has_2)")
+        .withColumn("task", F.xxhash64("cluster", "band_1", "tile_1", "band_2", "tile_2"))
     )
+
+    def side(own: int, other: int) -> DataFrame:
+        """Of the tile all sets if the other tile has some to meet them, else only those outside the largest component."""
+        sets = known.withColumnsRenamed({"band": f"band_{own}", "tile": f"tile_{own}"})
+        met = pairs.join(sets, ["cluster", f"band_{own}", f"tile_{own}"]).where(f"rest or has_{other}")
+        return met.select("task", F.lit(own).alias("side"), "sig", "known")
+
+    second = side(1, 2).unionByName(side(2, 1))
     more = _tiles(second.join(texts, "sig"), k, percent)
     return labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more)
 
@@ -335,6 +359,7 @@ def jaccard_components(
     length is one set; other columns are not read.
     """
     docs = materialize(_described(df, id_col, text_col, k, percent), "shingled")
+    shared = _shared(docs)
     nodes = (
         docs.where("n > 0")
         .groupBy("sig")
@@ -345,18 +370,18 @@ def jaccard_components(
             F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "fp")).alias("holder"),
         )
     )
-    member = nodes.join(_clusters(docs), "node").select(
-        F.col("label").alias("cluster"), "sig", "n", F.col("holder.id").alias("hid"), F.col("holder.fp").alias("hfp")
+    member = nodes.join(components(shared.select("u", "v")), "node").select(
+        F.col("label").alias("cluster"), "sig", "node", "n", F.col("holder.id").alias("hid"), F.col("holder.fp").alias("hfp")
     )
     texts = df.select(q(id_col).alias("id"), F.xxhash64(q(text_col)).alias("fp"), q(text_col).alias("text"))
     # the members grow with the table, so the join is the same at every size
     held = materialize(
         member.join(texts.hint("shuffle_merge"), F.col("hid").eqNullSafe(F.col("id")) & (F.col("hfp") == F.col("fp")))
         .groupBy("sig")
-        .agg(F.first("cluster").alias("cluster"), F.first("n").alias("n"), F.first("text").alias("text")),
+        .agg(F.first("cluster").alias("cluster"), F.first("node").alias("node"), F.first("n").alias("n"), F.first("text").alias("text")),
         "members",
     )
-    labels = components(_links(held, k, percent)).select(F.col("node").alias("sig"), "label")
+    labels = components(_links(held, shared, k, percent)).select(F.col("node").alias("sig"), "label")
     by_sig = nodes.select("sig", "least_id").join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     by_label = by_sig.groupBy("label").agg(F.min("least_id").alias("component_id"))
     named = by_sig.join(by_label, "label").select("sig", "component_id")
