@@ -8,7 +8,7 @@ import pytest
 
 from tidemark.llm import ngram_join
 from tidemark.llm.components import components
-from tidemark.llm.ngram_join import jaccard_components, keys_of
+from tidemark.llm.ngram_join import Bands, jaccard_components, keys_of
 
 
 def brute(rows, k, percent):
@@ -58,7 +58,7 @@ def test_components_match_all_pairs(spark, k, percent):
     rows = corpus(k)
     random.Random(1).shuffle(rows)
     want = brute(rows, k, percent)
-    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k=k, percent=percent).collect()
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k=k, percent=percent, parts=percent == 85).collect()
     assert len(got) == len(rows) and len({c for _, c in want.values()}) < len(rows) - 10
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
@@ -79,7 +79,8 @@ def test_large_clusters_are_cut_into_tiles(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
-def test_a_large_cluster_that_does_not_link(spark, monkeypatch):
+@pytest.mark.parametrize("parts", [True, False])
+def test_a_large_cluster_that_does_not_link(spark, monkeypatch, parts):
     monkeypatch.setattr(ngram_join, "TILE_DOCS", 10)
     monkeypatch.setattr(ngram_join, "HUBS", 3)
     rng = random.Random(5)
@@ -92,10 +93,28 @@ def test_a_large_cluster_that_does_not_link(spark, monkeypatch):
             w[rng.randrange(len(w))] = "edit"
             rows.append((1000 + i, " ".join(w)))
     want = brute(rows, 4, 85)
-    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k=4, percent=85).collect()
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k=4, percent=85, parts=parts).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+@pytest.mark.parametrize("percent", [80, 85, 50])
+def test_sets_that_link_share_a_part(percent):
+    rng, bands = np.random.default_rng(percent), Bands(percent)
+    for _ in range(3000):
+        n = int(rng.integers(1, rng.choice([8, 40, 400, 3000])))
+        a = rng.integers(0, 2**64, n, dtype=np.uint64)
+        # as many words go and come as the bound lets
+        common = n - int(rng.integers(0, n + 1 - -(-n * percent // 100)))
+        extra = int(rng.integers(0, max(1, common * 100 // percent - n + 1)))
+        b = np.unique(np.concatenate([a[:common], rng.integers(0, 2**64, extra, dtype=np.uint64)]))
+        a = np.unique(a)
+        if 100 * common >= percent * (len(a) + len(b) - common) and not np.array_equal(a, b):
+            one, two = bands.keys(a), bands.keys(b)
+            met = np.intersect1d(one & ~1, two & ~1)
+            assert len(met)
+            assert {k & ~1 for k in (*one.tolist(), *two.tolist()) if k & 1} & set(met.tolist())
+
+
 @pytest.mark.parametrize("percent", [80, 85, 50])
 def test_sets_that_link_share_a_key(percent):
     rng = np.random.default_rng(percent)

@@ -9,6 +9,12 @@ its first n - ceil(2 * percent * n / (100 + percent)) + 1.  These first shingles
 are the keys by which sets meet, so no link is lost whatever the counters say;
 rarest first, lines and phrases that many texts share make no keys.
 
+With ``parts`` there is no order to count for.  Sets are put into bands by size,
+such that only sets of one band or of neighbouring ones can link.  Two that
+link, the larger one in a given band, differ in no more than d shingles, so each
+set is cut by hash into more than d parts, and some part is the same in both.
+The sums of the parts are the keys.  This is cheaper where the bound is high.
+
 The connected components of "shares a key" are the clusters.  A cluster is cut
 into tiles of bounded size, by band and hash where one does not do.  A first
 round holds all sets of a tile against each other and against a few hubs of the
@@ -23,6 +29,7 @@ yet, are intersected exactly as sorted arrays.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,6 +78,60 @@ def shingles(text: str | None, k: int, words: dict) -> np.ndarray:
     return np.unique(out)
 
 
+class Bands:
+    """Bands of set sizes, and into how many parts a set is cut to meet those whose larger one is of a band."""
+
+    def __init__(self, percent: int):
+        self.percent = percent
+        self.starts = [1]
+        self._edges: dict[int, np.ndarray] = {}
+
+    def of(self, n: int) -> int:
+        """The band of a size; a size and one that links with it lie in the same or in neighbouring bands."""
+        while self.starts[-1] <= n:  # the next one starts where two steps of the bound have been made
+            self.starts.append(-(-self.starts[-1] * 10000 // self.percent**2) + 1)
+        return bisect_right(self.starts, n) - 1
+
+    def differences(self, band: int) -> int:
+        """The most shingles in which two that link can differ, the larger one in ``band``."""
+        self.of(self.starts[-1])
+        return 2 * (self.starts[band + 1] - 1) * (100 - self.percent) // (100 + self.percent)
+
+    def keys(self, s: np.ndarray) -> np.ndarray:
+        """Keys of a sorted set, the last bit set in those of its own band, which a key must have to matter."""
+        n, out = len(s), []
+        own = self.of(n)
+        if not n:
+            return np.zeros(0, np.int64)
+        with np.errstate(over="ignore"):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((s ^ (s >> np.uint64(31))) * np.uint64(MIX[2]), dtype=np.uint64)])
+            for band in (own, own + 1):
+                if band > own and 100 * n < self.percent * self.starts[band]:
+                    continue
+                d = self.differences(band)
+                if not d:
+                    continue  # only equal sets link, and these are one node
+                spare = d // 16
+                parts = d + 1 + spare
+                at = np.searchsorted(s, self._cuts(parts))
+                start, end = np.concatenate([[0], at]), np.concatenate([at, [n]])
+                key = (sums[end] - sums[start]) ^ (np.arange(parts, dtype=np.uint64) + np.uint64(band << 40)) * np.uint64(MIX[1])
+                key = (key ^ (key >> np.uint64(29))) * np.uint64(MIX[0])
+                key ^= key >> np.uint64(32)
+                key = (key & ~np.uint64(1)) | np.uint64(band == own)
+                filled = end > start
+                # at least spare + 1 parts are the same; only if all these are empty are empty parts needed
+                out.append(key[filled] if parts - int(filled.sum()) <= spare else key)
+        return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+
+    def _cuts(self, parts: int) -> np.ndarray:
+        if parts not in self._edges:
+            if len(self._edges) >= 64:
+                self._edges.clear()
+            self._edges[parts] = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+        return self._edges[parts]
+
+
 def keys_of(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
     """The first shingles of a sorted set; the last bit is set in those that a larger partner must share one of."""
     n = len(s)
@@ -135,16 +196,16 @@ class _Seen(set):
         return True
 
 
-def _described(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+def _described(df: DataFrame, id_col: str, text_col: str, k: int, percent: int, parts: bool) -> DataFrame:
     """id, fp (hash of the text), n, sig (16 bytes that name the set), node (its first 8) and keys.
 
     Of equal sets in a task only the first has keys, so a group of copies has no more than the number of tasks.
     """
 
-    held = df.sparkSession.sparkContext.broadcast(_counts(df, text_col, k))  # SLOTS numbers
+    held = None if parts else df.sparkSession.sparkContext.broadcast(_counts(df, text_col, k))  # SLOTS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, counts = _Words(), _Seen(), held.value
+        words, seen, bands, counts = _Words(), _Seen(), Bands(percent), None if parts else held.value
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
@@ -153,7 +214,9 @@ def _described(df: DataFrame, id_col: str, text_col: str, k: int, percent: int)
                     s = shingles(text.as_py(), k, words)
                     n.append(len(s))
                     sigs.append(sig := xxhash.xxh3_128_digest(s.tobytes()))
-                    keys.append(keys_of(s, counts, percent) if seen.new(sig) else np.zeros(0, np.int64))
+                    if not seen.new(sig):
+                        s = s[:0]
+                    keys.append(bands.keys(s) if parts else keys_of(s, counts, percent))
                 sizes = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(keys)))
                 nodes = pa.array([int.from_bytes(x[:8], "big", signed=True) for x in sigs], pa.int64())
@@ -346,7 +409,7 @@ def _least(banded: DataFrame, count: int) -> DataFrame:
 
 
 def jaccard_components(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, parts: bool = False
 ) -> DataFrame:
     """One row per input row: id, n_shingles and component_id, the smallest id reachable by links.
 
@@ -357,8 +420,10 @@ def jaccard_components(
     component_id unless all ids of the component are null; rows that repeat an
     id and a text are one; an empty table gives an empty result; a text of any
     length is one set; other columns are not read.
+
+    ``parts`` tells by which keys sets meet; the result is the same.
     """
-    docs = materialize(_described(df, id_col, text_col, k, percent), "shingled")
+    docs = materialize(_described(df, id_col, text_col, k, percent, parts), "shingled")
     shared = _shared(docs)
     nodes = (
         docs.where("n > 0")

@@ -65,7 +65,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+    return jaccard_components(table(spark, sf_dir, "documents"), k=4, percent=85, parts=True)
 
 
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
