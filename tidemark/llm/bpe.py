@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import q
+from .shared import q, releasing
 
 #: Bytes that each table of encoded matches may take, and characters of the longest match it keeps.
 CACHED_BYTES, CACHED_CHARS = 40 << 20, 64
@@ -415,13 +415,13 @@ def _encoder(held) -> Encoder:
     return _shared[key]
 
 
-def _slices(batch: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in turn, cut where ``sizes`` add up to ``BATCH_BYTES``."""
+def _slices(batch: pa.RecordBatch, sizes: np.ndarray, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in turn, cut where ``sizes`` add up to ``most``."""
     ends = np.cumsum(sizes)
     at = 0
     while at < len(batch):
         before = int(ends[at - 1]) if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + BATCH_BYTES, side="right")))
+        to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
         yield batch.slice(at, to - at)
         at = to
 
@@ -435,13 +435,15 @@ def encode_texts(
     space_starts: bool = False,
     decoded_col: str | None = None,
     carry: list[str] | None = None,
+    batch_bytes: int = BATCH_BYTES,
 ) -> DataFrame:
     """The ``carry`` columns (all by default) plus the texts' ids, an array of int; a null text has none.
 
     ``decoded_col`` names a further column with the bytes that the ids decode
     to, made in the same pass.  Rows pass through one by one, whatever else
     they hold; columns named like a result are replaced; an empty table gives
-    an empty result; a text of any length is encoded whole.
+    an empty result; a text of any length is encoded whole.  ``batch_bytes`` of
+    text are encoded at once: fewer take less memory and more time.
     """
     results = [out_col] if decoded_col is None else [out_col, decoded_col]
     taken = {c.lower() for c in results}
@@ -455,14 +457,14 @@ def encode_texts(
         encoder = _encoder(held)
         for batch in batches:
             lengths = pc.fill_null(pc.binary_length(batch.column(0)), 0).to_numpy(zero_copy_only=False)
-            for part in _slices(batch, lengths):
+            for part in _slices(batch, lengths, batch_bytes):
                 ids = encoder.encode_column(part.column(0))
                 out = [*part.columns[1:], ids]
                 if decoded_col is not None:
                     out.append(encoder.decode_column(ids))
                 yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(releasing(run), schema)
 
 
 def decode_ids(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -479,4 +481,4 @@ def decode_ids(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out
             for part in _slices(batch, counts.astype(np.int64) * 4):
                 yield pa.RecordBatch.from_arrays([*part.columns, encoder.decode_column(part.column(place))], names=schema.names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(releasing(run), schema)

@@ -39,14 +39,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialize, q
+from .shared import materialize, q, releasing
 
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 #: Limits of a tile, and the hubs of a band.
 TILE_DOCS, TILE_SHINGLES, HUBS = 4000, 3_000_000, 32
 #: Counters of shingles, a power of two, and how many are sent together.
 SLOTS, _BLOCK = 1 << 22, 1 << 14
-_CACHED = 400_000
+_CACHED, _CACHED_WORDS = 400_000, 100_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -54,7 +54,7 @@ class _Words(dict):
     """64-bit hashes of words, a bounded table."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHED:
+        if len(self) >= _CACHED_WORDS:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -179,7 +179,7 @@ def _counts(df: DataFrame, text_col: str, k: int) -> np.ndarray:
 
     kind = "block int, counts binary"
     out = np.zeros(SLOTS, np.uint32)
-    for row in df.select(q(text_col)).mapInArrow(run, kind).repartition("block").mapInArrow(add, kind).collect():
+    for row in df.select(q(text_col)).mapInArrow(releasing(run), kind).repartition("block").mapInArrow(releasing(add), kind).collect():
         out[row.block * _BLOCK : (row.block + 1) * _BLOCK] = np.frombuffer(row.counts, np.uint32)
     return out
 
@@ -227,7 +227,7 @@ def _described(df: DataFrame, id_col: str, text_col: str, k: int, percent: int,
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(q(id_col).alias("id"), F.xxhash64(q(text_col)).alias("fp"), q(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, fp long, n long, sig binary, node long, keys array<long>"
+        releasing(run), f"id {kind}, fp long, n long, sig binary, node long, keys array<long>"
     )
 
 
@@ -319,7 +319,7 @@ def _tiles(members: DataFrame, k: int, percent: int) -> DataFrame:
             yield links()
 
     placed = members.select("task", "side", "sig", "known", "text").repartition("task").sortWithinPartitions("task")
-    return placed.mapInArrow(run, "u binary, v binary")
+    return placed.mapInArrow(releasing(run), "u binary, v binary")
 
 
 def _tiled(sets: DataFrame, percent: int) -> DataFrame:

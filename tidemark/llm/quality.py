@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import q
+from .shared import q, releasing
 
 #: Odd multipliers that spread the word hashes of the n-grams.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -108,7 +108,7 @@ def fit_quality(
         w = model.weights(slice(None)).astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], ["w"])
 
-    got = rows.mapInArrow(train, "w binary").collect()  # one row of 4 << bits bytes
+    got = rows.mapInArrow(releasing(train), "w binary").collect()  # one row of 4 << bits bytes
     return np.frombuffer(got[0].w, np.float32) if got else np.zeros((1 << bits) + 1, np.float32)
 
 
@@ -124,7 +124,7 @@ def score_quality(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", te
             out = _scores(batch.column(1), w, bits)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], [id_col, "score"])
 
-    return df.select(q(id_col), q(text_col)).mapInArrow(run, schema)
+    return df.select(q(id_col), q(text_col)).mapInArrow(releasing(run), schema)
 
 
 def _scores(texts: pa.Array, w: np.ndarray, bits: int) -> np.ndarray:
@@ -148,7 +148,7 @@ def keep_quality(
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch.column(place), w, bits) >= least))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(releasing(run), df.schema)
 
 
 def held_out(id_: Column) -> Column:

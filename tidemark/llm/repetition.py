@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import q
+from .shared import q, releasing
 
 SYMBOLS = b"#*$%&|<>"
 #: Words of the texts that are indexed together; a longer text makes a block of its own.
@@ -172,7 +172,7 @@ def measure_repetition(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     yield pa.RecordBatch.from_arrays(columns, [id_col, *MEASURES, "spans"])
                     start, size = i + 1, 0
 
-    return df.select(q(id_col), q(text_col)).mapInArrow(run, schema)
+    return df.select(q(id_col), q(text_col)).mapInArrow(releasing(run), schema)
 
 
 def repetition_rules(

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +82,25 @@ def _clean() -> None:
             return
 
 
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, an Arrow function, that gives what it freed back to the system when its task ends.
+
+    Python workers are used again by later tasks of other operators; memory
+    that the allocators keep would count twice there.
+    """
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+            if trim is not None:
+                trim(0)
+
+    return released
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for internal columns that no column of ``df`` has (case-insensitive)."""
     taken = {c.lower() for c in df.columns}
