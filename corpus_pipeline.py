@@ -20,6 +20,9 @@ from tidemark.llm.ngram_join import jaccard_components
 from tidemark.llm.quality import fit_quality, keep_quality
 from tidemark.llm.shared import discard, settled, table
 
+#: Text encoded at once; less than the operator's default, as the workers have served four stages before.
+BATCH_BYTES = 2 << 20
+
 
 def _with_length(docs: DataFrame) -> DataFrame:
     """n_chars as the text now is."""
@@ -56,7 +59,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether they decode to it."""
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     encoded = encode_texts(
-        docs, ranks, public_tokenizers.PATTERN, space_starts=True, decoded_col="decoded", carry=["doc_id", "source", "text"]
+        docs, ranks, public_tokenizers.PATTERN, space_starts=True, decoded_col="decoded", carry=["doc_id", "source", "text"], batch_bytes=BATCH_BYTES
     )
     text = F.coalesce("text", F.lit("")).cast("binary")
     return encoded.select(
