@@ -8,6 +8,7 @@ from tidemark.api import Engine
 from tidemark.functions.stats import order_statistics, positional
 from tidemark.operators import boundaries as bo
 from tidemark.operators import correlation as co
+from tidemark.operators import ml
 from tidemark.operators import movements as mv
 from tidemark.operators import outliers as ou
 from tidemark.operators import segments as sg
@@ -92,6 +93,13 @@ def test_a_tree_stands_in_where_no_split_is_found(spark):
     assert bo.tree_splits(moves(spark, [(i, i * 0.05) for i in range(10)]), 3).count() == 0
 
 
+def test_of_equal_strategies_the_first_is_best(spark, monkeypatch):
+    same = lambda moves, target: spark.createDataFrame([(0.0, 100.0, 1.0, 1.0, 9, 0.5)], ml.EMPTY)
+    monkeypatch.setattr(ml, "STRATEGIES", {"a": same, "b": same})
+    got = ml.combined_optimization(moves(spark, [(i, i % 3) for i in range(30)]), 1.0, ["b", "a"]).collect()
+    assert {(r.strategy, r.best) for r in got} == {("b", True), ("a", False)}
+
+
 def test_order_statistics_are_exact(spark):
     values = [(i * 7919) % 1009 / 4 for i in range(700)] + [5.0] * 300
     df = spark.createDataFrame([(v,) for v in values], "x double").repartition(5)

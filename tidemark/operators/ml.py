@@ -156,22 +156,23 @@ def strategy(name: str):
 def combined_optimization(moves: DataFrame, target: float, names: list[str], ratio: float = 0.2, chunk: int = DAY) -> DataFrame:
     """Every strategy's ranges, found on the first rows by time and scored on the rest; the best strategy is marked.
 
-    A strategy that fails scores 0 and has no ranges.
+    A strategy that lacks the rows it needs is left out; of equal scores the strategy named first is the best.
     """
     train, held = holdout(moves, ratio, chunk)
     parts = []
-    for name in names:
+    for place, name in enumerate(names):
         try:
             got = strategy(name)(train, target)
             score = evaluate(got, held, target).select("score")
-            parts.append(got.crossJoin(F.broadcast(score)).withColumn("strategy", F.lit(name)))  # one row
+            parts.append(got.crossJoin(F.broadcast(score)).withColumn("strategy", F.lit(name)).withColumn("_place", F.lit(place)))  # one row
         except InsufficientDataError:
             continue
     if not parts:
         empty = moves.sparkSession.createDataFrame([], EMPTY)
         return empty.withColumn("score", F.lit(0.0)).withColumn("strategy", F.lit("")).withColumn("best", F.lit(False))
     all_ = reduce(DataFrame.unionByName, parts)
-    return all_.withColumn("best", F.col("score") == F.max("score").over(Window.partitionBy(F.lit(0))))  # a few dozen rows
+    first = F.max_by("_place", F.struct("score", -F.col("_place"))).over(Window.partitionBy(F.lit(0)))  # a few dozen rows
+    return all_.withColumn("best", F.col("_place") == first).drop("_place")
 
 
 def tiered_optimization(moves: DataFrame, k: int = 5) -> DataFrame:
