@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from tidemark.llm import ngram_join
+from tidemark.llm import ngram_join, shared
 from tidemark.llm.components import components
 from tidemark.llm.ngram_join import Bands, jaccard_components, keys_of
 
@@ -97,6 +97,30 @@ def test_a_large_cluster_that_does_not_link(spark, monkeypatch, parts):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_second_round_sends_sets_only_to_tiles_they_share_a_key_with(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE_DOCS", 10)
+    monkeypatch.setattr(ngram_join, "HUBS", 3)
+    rounds, tiles = [], ngram_join._tiles
+    monkeypatch.setattr(ngram_join, "_tiles", lambda members, k, percent: rounds.append(members.count()) or tiles(members, k, percent))
+    rng = random.Random(8)
+    passages = [[f"p{rng.random()}" for _ in range(60)] for _ in range(201)]
+    rows = [(i, " ".join(passages[i] + passages[i + 1])) for i in range(200)]  # a cluster in which each meets two others
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), k=4, percent=85).collect()
+    assert all(r.component_id == r.doc_id for r in got)
+    assert rounds[0] >= len(rows) and len(rounds) == 2 and rounds[1] <= 2 * len(rows)
+
+
+def test_only_results_stay_on_disk(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    before = {str(b) for b in blocks.getAllBlocks().mkString(" ").split()}
+    written = len(shared._written)
+    found = jaccard_components(spark.createDataFrame(corpus(3), "doc_id long, text string"), k=4, percent=85, parts=True)
+    left = {b for b in blocks.getAllBlocks().mkString(" ").split() if b not in before and b.startswith("shuffle")}
+    assert len(shared._written) - written == 2  # one row per document, and the labels
+    assert not left
+    assert found.count() == len(corpus(3))
+
+
 @pytest.mark.parametrize("percent", [80, 85, 50])
 def test_sets_that_link_share_a_part(percent):
     rng, bands = np.random.default_rng(percent), Bands(percent)

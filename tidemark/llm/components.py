@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, materialize
+from .shared import discard, materialize, swept
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -25,7 +25,8 @@ def _are_stars(edges: DataFrame) -> bool:
         edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
     )
     seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-    return seen.where("up > 1 or (up > 0 and down > 0)").isEmpty()
+    with swept(edges.sparkSession):
+        return seen.where("up > 1 or (up > 0 and down > 0)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -18,9 +18,8 @@ The sums of the parts are the keys.  This is cheaper where the bound is high.
 The connected components of "shares a key" are the clusters.  A cluster is cut
 into tiles of bounded size, by band and hash where one does not do.  A first
 round holds all sets of a tile against each other and against a few hubs of the
-neighbouring tiles; a second one meets pairs of tiles, of those sets only that
-share a key with a set of another component, and only where one side is not yet
-in the cluster's largest component.
+neighbouring tiles; a second one meets pairs of tiles, and there only those sets
+that share a key with a set of another component in the other tile.
 
 In a tile each set has a bitmap of hashed shingles.  The set bits in which two
 differ bound the overlap from above; pairs that pass, and are not connected
@@ -39,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import materialize, q, releasing
+from .shared import discard, materialize, q, releasing, settled
 
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 #: Limits of a tile, and the hubs of a band.
@@ -364,37 +363,27 @@ def _links(held: DataFrame, shared: DataFrame, k: int, percent: int) -> DataFram
         ),
         "known",
     )
-    # only those that share a key with a set of another component can link any more
+    # only those that share a key with a set of another component can link any more, and only with the tiles of such sets
     members = shared.select("key", F.col("u").alias("node")).unionByName(shared.select("key", F.col("v").alias("node")).distinct())
-    members = members.join(known.select("node", "known"), "node")
-    mixed = members.groupBy("key").agg(F.min("known").alias("one"), F.max("known").alias("other")).where("one <> other")
-    active = members.join(mixed.select("key"), "key").select("node").distinct()
-    known = materialize(known.join(active, "node", "left_semi"), "active")
-    largest = (
-        known.groupBy("cluster", "known")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .groupBy("cluster")
-        .agg(F.max_by("known", F.struct("c", "known")).alias("main"))
+    members = members.join(known.select("node", "band", "tile", F.xxhash64("known").alias("part")), "node")
+    mixed = members.groupBy("key").agg(F.min("part").alias("one"), F.max("part").alias("other")).where("one <> other")
+    members = materialize(members.join(mixed.select("key"), "key"), "mixed")
+    there = members.groupBy("key", F.col("band").alias("band_2"), F.col("tile").alias("tile_2")).agg(
+        F.min("part").alias("least"), F.max("part").alias("most")
     )
-    known = known.join(largest, "cluster").select("cluster", "band", "tile", "sig", "known", (F.col("known") != F.col("main")).alias("rest"))
-    tiles = known.groupBy("cluster", "band", "tile").agg(F.max("rest").alias("has"))
-    # every two tiles that may hold links, once, if one of them has sets outside the largest component
-    of_one, of_two = ({c: f"{c}_{i}" for c in ("band", "tile", "has")} for i in (1, 2))
-    pairs = (
-        tiles.withColumnsRenamed(of_one)
-        .withColumn("band_2", F.explode(F.array(F.col("band_1"), F.col("band_1") + 1)))
-        .join(tiles.withColumnsRenamed(of_two), ["cluster", "band_2"])
-        .where("(band_2 > band_1 or tile_2 > tile_1) and (has_1 or has_2)")
-        .withColumn("task", F.xxhash64("cluster", "band_1", "tile_1", "band_2", "tile_2"))
+    meets = (
+        members.join(there, "key")
+        .where("abs(band - band_2) <= 1 and (band <> band_2 or tile <> tile_2) and (least <> part or most <> part)")
+        .select("node", "band_2", "tile_2")
+        .distinct()
+    )
+    own, other = F.struct("band", "tile"), F.struct(F.col("band_2").alias("band"), F.col("tile_2").alias("tile"))
+    second = meets.join(known, "node").select(
+        F.xxhash64("cluster", F.least(own, other), F.greatest(own, other)).alias("task"),
+        F.when(own < other, 1).otherwise(2).alias("side"),
+        "sig",
+        "known",
     )
-
-    def side(own: int, other: int) -> DataFrame:
-        """Of the tile all sets if the other tile has some to meet them, else only those outside the largest component."""
-        sets = known.withColumnsRenamed({"band": f"band_{own}", "tile": f"tile_{own}"})
-        met = pairs.join(sets, ["cluster", f"band_{own}", f"tile_{own}"]).where(f"rest or has_{other}")
-        return met.select("task", F.lit(own).alias("side"), "sig", "known")
-
-    second = side(1, 2).unionByName(side(2, 1))
     more = _tiles(second.join(texts, "sig"), k, percent)
     return labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more)
 
@@ -423,8 +412,10 @@ def jaccard_components(
 
     ``parts`` tells by which keys sets meet; the result is the same.
     """
-    docs = materialize(_described(df, id_col, text_col, k, percent, parts), "shingled")
-    shared = _shared(docs)
+    described = materialize(_described(df, id_col, text_col, k, percent, parts), "shingled")
+    shared = _shared(described)
+    docs = materialize(described.drop("keys"), "sets")
+    discard(described)  # the keys take more room than all that follows
     nodes = (
         docs.where("n > 0")
         .groupBy("sig")
@@ -435,18 +426,22 @@ def jaccard_components(
             F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "fp")).alias("holder"),
         )
     )
-    member = nodes.join(components(shared.select("u", "v")), "node").select(
-        F.col("label").alias("cluster"), "sig", "node", "n", F.col("holder.id").alias("hid"), F.col("holder.fp").alias("hfp")
-    )
     texts = df.select(q(id_col).alias("id"), F.xxhash64(q(text_col)).alias("fp"), q(text_col).alias("text"))
-    # the members grow with the table, so the join is the same at every size
-    held = materialize(
-        member.join(texts.hint("shuffle_merge"), F.col("hid").eqNullSafe(F.col("id")) & (F.col("hfp") == F.col("fp")))
-        .groupBy("sig")
-        .agg(F.first("cluster").alias("cluster"), F.first("node").alias("node"), F.first("n").alias("n"), F.first("text").alias("text")),
-        "members",
-    )
-    labels = components(_links(held, shared, k, percent)).select(F.col("node").alias("sig"), "label")
+
+    def members() -> DataFrame:
+        member = nodes.join(components(shared.select("u", "v")), "node").select(
+            F.col("label").alias("cluster"), "sig", "node", "n", F.col("holder.id").alias("hid"), F.col("holder.fp").alias("hfp")
+        )
+        # the members grow with the table, so the join is the same at every size
+        joined = member.join(texts.hint("shuffle_merge"), F.col("hid").eqNullSafe(F.col("id")) & (F.col("hfp") == F.col("fp")))
+        return joined.groupBy("sig").agg(
+            F.first("cluster").alias("cluster"), F.first("node").alias("node"), F.first("n").alias("n"), F.first("text").alias("text")
+        )
+
+    held = settled(members, "members")
+    labels = settled(lambda: components(_links(held, shared, k, percent)).select(F.col("node").alias("sig"), "label"), "labels")
+    discard(held)
+    discard(shared)
     by_sig = nodes.select("sig", "least_id").join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     by_label = by_sig.groupBy("label").agg(F.min("least_id").alias("component_id"))
     named = by_sig.join(by_label, "label").select("sig", "component_id")

@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Used only by a local session that names no checkpoint directory (tests, notebooks).
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/tidemark"
 
+#: Whether Spark removes the shuffle files of a query when it ends, instead of whenever the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -34,15 +38,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return LOCAL_CHECKPOINTS
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """What the queries run in here shuffle is removed as soon as they end."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This cuts lineage: a lost executor makes Spark redo only what follows.  The
-    files are removed when the Python process ends.
+    files are removed when the Python process ends.  What the query shuffled is
+    removed at once.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with swept(spark):
+        df.write.parquet(path)
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))
