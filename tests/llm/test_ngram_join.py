@@ -110,11 +110,12 @@ def test_second_round_sends_sets_only_to_tiles_they_share_a_key_with(spark, monk
     assert rounds[0] >= len(rows) and len(rounds) == 2 and rounds[1] <= 2 * len(rows)
 
 
-def test_only_results_stay_on_disk(spark):
+@pytest.mark.parametrize("parts", [True, False])  # the pipeline meets by prefix keys
+def test_only_results_stay_on_disk(spark, parts):
     blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     before = {str(b) for b in blocks.getAllBlocks().mkString(" ").split()}
     written = len(shared._written)
-    found = jaccard_components(spark.createDataFrame(corpus(3), "doc_id long, text string"), k=4, percent=85, parts=True)
+    found = jaccard_components(spark.createDataFrame(corpus(3), "doc_id long, text string"), k=4, percent=85, parts=parts)
     left = {b for b in blocks.getAllBlocks().mkString(" ").split() if b not in before and b.startswith("shuffle")}
     assert len(shared._written) - written == 2  # one row per document, and the labels
     assert not left
