@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from tidemark.llm.substring_dedup import GAP_COST, _regions, agreeing, align, chains, passages, repeated_passages, runs, seeds
+from tidemark.llm.substring_dedup import GAP_COST, _meet, _regions, agreeing, align, chains, passages, repeated_passages, runs, seeds
 
 
 def best_chain(matches, k):
@@ -208,3 +208,36 @@ def test_defined_cases(spark):
     assert got.columns == ["doc_id", "start", "end", "other_id", "other_start", "other_end", "n_words", "identity"]
     found = {(r.doc_id, r.start, r.end, r.other_id, r.other_start, r.other_end) for r in got.collect()}
     assert found in ({(1, 30000, 30070, 2, 2, 72)}, {(2, 2, 72, 1, 30000, 30070)})
+
+
+def test_holders_of_a_seed_meet_without_its_first_holder(spark):
+    """A common line of 24 words, and pairs of texts that go on from it alike, every fourth word changed."""
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    line, pairs = words(24), set()
+    rows = [(i, " ".join(words(40) + line + words(40))) for i in range(400)]
+    for _ in range(20):
+        more = words(36)
+        changed = [w if j % 4 != 3 else words(1)[0] for j, w in enumerate(more)]
+        n = len(rows)
+        rows += [(n, " ".join(words(30) + line + more + words(30))), (n + 1, " ".join(words(35) + line + changed + words(20)))]
+        pairs.add((n, n + 1))
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(sorted((r.doc_id, r.other_id))) for r in got} == pairs
+    assert all(r.n_words >= 40 and r.identity >= 0.8 for r in got)
+
+
+def test_few_and_many_places_meet_alike():
+    """All pairs with 40 equal words of some 50 are met, in one block or two, by triples of words or by all words."""
+    rng = np.random.default_rng(6)
+    for n in (40, 400):
+        x = rng.integers(1, 2**32, (n, 206)).astype(np.uint32)
+        x[:, 100:106] = x[0, 100:106]
+        want = set()
+        for i in range(0, 20, 2):
+            x[i + 1, 80:150] = np.where(rng.random(70) < 0.12, x[i + 1, 80:150], x[i, 80:150])
+            x[i + 1, 100:106] = x[0, 100:106]
+            want.add((i, i + 1))
+        for sides in (np.zeros(n, int), np.arange(n) % 2 + 1):
+            met = _meet(x, sides, np.arange(n), np.arange(n), [[]] * n, 6, 50, 0.8)
+            assert {tuple(sorted(map(int, p))) for p in met} == want

@@ -5,8 +5,10 @@ Exact copies of a text are one node.  Each text gives seeds: of every
 several texts hold joins each of them to its first holder, never to each other,
 so a passage in a third of all texts makes one row for each.  That holder may
 have the seed and not the passage, so runs of two or more shared seeds in a row
-join their holders to the first that has the whole run.  The matches of a
-text with one other text are chained in order: the score of a chain is its
+join their holders to the first that has the whole run.  Holders of a seed that
+this has not joined, by passages over the seed, to one and the same holder are
+then held against each other, all of them, by the words around the seed.  The
+matches of a text with one other text are chained in order: the score of a chain is its
 words less gap costs, and the best predecessor of a match comes from a Fenwick
 tree of prefix maxima.  Chains are then aligned over the words themselves,
 between their matches and beyond both ends, and kept from ``min_words`` words
@@ -16,6 +18,7 @@ reach both are kept.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ngram_join import MIX, _Words
-from .shared import materialize, q, releasing
+from .shared import discard, materialize, q, releasing
 
 _WORD = (1 << 64) - 1
 _PLACE = np.uint64((1 << 24) - 1)
@@ -446,6 +449,238 @@ def _regions(rows: DataFrame, k: int, min_words: int) -> DataFrame:
     return rows.select("node", "matches", "text").mapInArrow(releasing(run), REGION)
 
 
+#: Places of a seed that are held against each other in one task; more are cut into blocks that meet two by two.
+BLOCK = 16384
+AROUND = "h long, node long, at int, label long, n long, words binary, near array<long>, off array<int>"
+
+
+def _open(shared: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """(h, node, at, label, n) of the seeds whose holders do not all have one label; n places in all.
+
+    A holder's label is the least other one to which a passage over the seed in both joins it, or its own node.
+    """
+    places = shared.select("node", F.inline("held")).select("h", "node", "at").distinct()
+    over = places.join(found.select("node", "other", "start", "end", "other_start", "other_end"), "node").where(
+        (F.col("start") <= F.col("at")) & (F.col("at") + k <= F.col("end"))
+    )
+    there = places.select("h", F.col("node").alias("other"), F.col("at").alias("there"))
+    led = (
+        over.join(there, ["h", "other"])
+        .where((F.col("other_start") <= F.col("there")) & (F.col("there") + k <= F.col("other_end")))
+        .groupBy("h", "node")
+        .agg(F.min("other").alias("first"))
+    )
+    labelled = places.join(led, ["h", "node"], "left").select("h", "node", "at", F.least("node", "first").alias("label"))
+    several = labelled.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("one"), F.max("label").alias("two"))
+    return labelled.join(several.where("one <> two").select("h", "n"), "h")
+
+
+def _around(rows: DataFrame, k: int, wide: int) -> DataFrame:
+    """Places (h, at, label, n) of (node, places, text) with the words around them, 0 where there are none, and other places among these.
+
+    Of places of one seed that overlap one another, as in a text of one word, the first and the last count: on any
+    other diagonal no more words agree than on that of the first ones, or of the last.
+    """
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    names = ["h", "node", "at", "label", "n", "words", "near", "off"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, out = _Words(), []
+        for batch in batches:
+            offsets, *held = _lists(batch.column(1), "h", "at", "label", "n")
+            for i, node in enumerate(batch.column(0).to_pylist()):
+                every = sorted(zip(*[c[offsets[i] : offsets[i + 1]].tolist() for c in held], strict=True))
+                ends = [None, *every, None]
+                found = [
+                    x
+                    for before, x, after in zip(ends, every, ends[2:], strict=False)
+                    if not (before and after and before[0] == x[0] == after[0] and x[1] - before[1] < k and after[1] - x[1] < k)
+                ]
+                found.sort(key=lambda x: x[1])
+                hashes = word_hashes(batch.column(2)[i].as_py(), words).astype(np.uint32)
+                hashes[hashes == 0] = 1
+                padded = np.concatenate([np.zeros(wide, np.uint32), hashes, np.zeros(wide, np.uint32)])
+                ats, met = [x[1] for x in found], set()
+                for h, at, label, n in found:
+                    text = padded[at : at + k + 2 * wide].tobytes()
+                    if (h, label, text) in met:  # as in a text of one line again and again
+                        continue
+                    met.add((h, label, text))
+                    near = found[bisect_left(ats, at - MARGIN) : bisect_right(ats, at + MARGIN)]
+                    near = [x for x in near if x[0] != h]
+                    out.append((h, node, at, label, n, text, [x[0] for x in near], [x[1] - at for x in near]))
+                    if len(out) >= 2000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                        out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    return rows.select("node", "places", "text").mapInArrow(releasing(run), AROUND)
+
+
+def _sharing(keys: np.ndarray, rows: np.ndarray, most: float) -> Iterator[tuple[np.ndarray, np.ndarray]] | None:
+    """Positions in ``rows`` of those with the same key, two by two; None if these are more than ``most``."""
+    order = np.argsort(keys, kind="stable")
+    keys, rows = keys[order], rows[order]
+    ends = np.flatnonzero(np.concatenate([keys[1:] != keys[:-1], [True]])) + 1 if len(keys) else np.zeros(0, np.int64)
+    sizes = np.diff(ends, prepend=0).astype(np.float64)
+    if (sizes * (sizes - 1) / 2).sum() > most:
+        return None
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for step in range(1, int(sizes.max()) if len(sizes) else 0):
+            same = np.flatnonzero(keys[step:] == keys[:-step])
+            yield rows[same], rows[same + step]
+
+    return pairs()
+
+
+def _grams(x: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Triples of words by their place, as (key, row): all but the ``least`` - 1 of each row that are most frequent.
+
+    Rows that have ``least`` triples in the same places share one of those that are left.
+    """
+    with np.errstate(over="ignore"):
+        g = x[:, :-2] * np.uint32(0x9E3779B1) ^ x[:, 1:-1] * np.uint32(0x85EBCA77) ^ x[:, 2:] * np.uint32(0xC2B2AE3D)
+        g = (g ^ (g >> np.uint32(15))) * np.uint32(0x27D4EB2F) + np.arange(g.shape[1], dtype=np.uint32) * np.uint32(0x165667B1)
+    row, _ = np.nonzero((x[:, :-2] != 0) & (x[:, 1:-1] != 0) & (x[:, 2:] != 0))
+    g = g[(x[:, :-2] != 0) & (x[:, 1:-1] != 0) & (x[:, 2:] != 0)]
+    _, at, counts = np.unique(g, return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int64)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    key = rank[at]
+    order = np.lexsort((-key, row))
+    row, key, several = row[order], key[order], counts[at][order] > 1
+    starts = np.searchsorted(row, np.arange(len(x)))
+    keep = (np.arange(len(row)) - starts[row] >= least - 1) & several
+    return key[keep], row[keep]
+
+
+def _meet(x: np.ndarray, sides: np.ndarray, labels: np.ndarray, nodes: np.ndarray, near: list, k: int, min_words: int, min_identity: float):
+    """Pairs of rows (i, j) with passages over the seed in their middle, or that may have such if more is looked at.
+
+    x: the words around the seed, 0 where there are none, twice ``min_words`` on either side.  So a passage, or a part of it
+    that reaches both bounds, lies within the words around one of its seeds.  Rows of one label are joined already, and a
+    pair that has a passage here has one label from then on.
+    """
+    least = int(np.ceil(min_identity * min_words - 1e-9))
+    roots, n, middle = np.unique(labels, return_inverse=True)[1], len(x), (x.shape[1] - k) // 2
+    begins, stops = (x != 0).argmax(axis=1), x.shape[1] - (x[:, ::-1] != 0).argmax(axis=1)
+    told = set()
+
+    def joined(i: int, j: int) -> bool:
+        lo, hi = max(begins[i], begins[j]), min(stops[i], stops[j])
+        return bool(passages(x[i, lo:hi], x[j, lo:hi], [(middle - lo, middle - lo)], k, min_words, min_identity))
+
+    def linked(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Those with a stretch on the diagonal that reaches both bounds."""
+        equal = (x[i] == x[j]) & (x[i] != 0)
+        pick = np.flatnonzero(equal.sum(axis=1) >= least)
+        i, j, equal = i[pick], j[pick], equal[pick]
+        gain = np.cumsum(np.pad(equal, ((0, 0), (1, 0))) - np.float32(min_identity), axis=1)
+        low = np.minimum.accumulate(gain, axis=1)[:, : gain.shape[1] - min_words]
+        pick = (gain[:, min_words:] - low >= -1e-3).any(axis=1)
+        for a, b in zip(i[pick].tolist(), j[pick].tolist(), strict=True):
+            if roots[a] == roots[b]:
+                continue
+            pair = (int(nodes[a]), int(nodes[b]))
+            if joined(a, b):
+                roots[roots == roots[b]] = roots[a]
+            elif pair in told:
+                continue
+            told.add(pair)
+            yield a, b
+
+    def may(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (roots[i] != roots[j]) & ((sides[i] == 0) | (sides[i] != sides[j]))
+
+    rare = None
+    if n > 256:
+        # each word that differs is in three triples
+        triples = int(min_words - 2 - 3 * (1 - min_identity) * min_words + 1e-9)
+        if triples > 1:
+            rare = _sharing(*_grams(x, triples), most=n * n / 32)
+    if rare is not None:
+        for i, j in rare:
+            some = may(i, j)
+            i, j = i[some], j[some]
+            for at in range(0, len(i), 20_000):
+                yield from linked(i[at : at + 20_000], j[at : at + 20_000])
+    else:
+        right = np.flatnonzero(sides == 2)
+        for i in np.flatnonzero(sides != 2):
+            j = np.arange(i + 1, n) if sides[i] == 0 else right
+            j = j[roots[j] != roots[i]]
+            if len(j):
+                y = x[i, begins[i] : stops[i]]
+                j = j[np.count_nonzero(x[j, begins[i] : stops[i]] == y, axis=1) >= least]
+                if len(j):
+                    yield from linked(np.full(len(j), i), j)
+    # other seeds that lie elsewhere: the passage leaves the diagonal, and no more words agree than both sides have
+    flat = [(h, i, off) for i, held in enumerate(near) for h, off in held]
+    if flat:
+        h, row, off = (np.array(c) for c in zip(*flat, strict=True))
+        slot = (x * np.uint32(0x9E3779B1)) >> np.uint32(21)
+        maps = np.zeros((n, 1 << 11), bool)
+        maps[np.arange(n)[:, None], slot] = True
+
+        def enough(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return (maps[j[:, None], slot[i]] & (x[i] != 0)).sum(axis=1) >= least
+
+        for a, b in _sharing(h, np.arange(len(h)), float("inf")):
+            some = (off[a] != off[b]) & may(row[a], row[b])
+            i, j = row[a[some]], row[b[some]]
+            pick = [np.zeros(0, bool), *(enough(i[at : at + 20_000], j[at : at + 20_000]) for at in range(0, len(i), 20_000))]
+            pick = np.concatenate(pick)
+            for i, j in zip(i[pick].tolist(), j[pick].tolist(), strict=True):
+                pair = (int(nodes[i]), int(nodes[j]))
+                if pair not in told and np.isin(x[i, begins[i] : stops[i]], x[j]).sum() >= least:
+                    told.add(pair)
+                    yield i, j
+
+
+def _left(around: DataFrame, k: int, min_words: int, min_identity: float) -> DataFrame:
+    """Matches (node, other, at, there) of places that no passage joins yet and that ``_meet`` does not rule out."""
+    blocks = F.ceil(F.col("n") / F.lit(BLOCK))
+    cut = around.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", "at"), F.col("blocks")))
+    own, other = F.col("own"), F.col("with")
+    placed = cut.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        F.xxhash64("h", F.least(own, other), F.greatest(own, other)).alias("task"),
+        F.when(own == other, 0).when(own < other, 1).otherwise(2).alias("side"),
+        *["node", "at", "label", "words", "near", "off", "h"],
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, rows = None, []
+
+        def pairs() -> pa.RecordBatch:
+            sides, nodes, ats, labels, texts, near, off = zip(*rows, strict=True)
+            out: list[tuple[int, int, int, int]] = []
+            if len(set(labels)) > 1:
+                x = np.frombuffer(b"".join(texts), np.uint32).reshape(len(rows), -1)
+                there = [list(zip(a, b, strict=True)) for a, b in zip(near, off, strict=True)]
+                for i, j in _meet(x, np.array(sides), np.array(labels), np.array(nodes), there, k, min_words, min_identity):
+                    if nodes[i] != nodes[j]:
+                        i, j = (i, j) if nodes[i] > nodes[j] else (j, i)
+                        out.append((nodes[i], nodes[j], ats[i], ats[j]))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 4
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["node", "other", "at", "there"])
+
+        for batch in batches:
+            for t, h, *row in zip(batch.column(0).to_pylist(), batch.column(8).to_pylist(), *[c.to_pylist() for c in batch.columns[1:8]], strict=True):
+                if (t, h) != task:
+                    if rows:
+                        yield pairs()
+                    task, rows = (t, h), []
+                rows.append(row)
+        if rows:
+            yield pairs()
+
+    dealt = placed.repartition("task").sortWithinPartitions("task", "h")
+    return dealt.mapInArrow(releasing(run), "node long, other long, at int, there int")
+
+
 PASSAGE = "node long, other long, start long, end long, other_start long, other_end long, n_words long, identity double"
 
 
@@ -500,6 +735,11 @@ def _aligned(rows: DataFrame, k: int, min_words: int, min_identity: float) -> Da
     return picked.mapInArrow(releasing(run), PASSAGE)
 
 
+def matched(met: DataFrame) -> DataFrame:
+    """(node, matches) of rows (node, other, at, there)."""
+    return met.where("node <> other").groupBy("node").agg(F.collect_set(F.struct("other", "at", "there")).alias("matches"))
+
+
 def repeated_passages(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -532,7 +772,7 @@ def repeated_passages(
     columns = ["node", "other", "at", "there"]
     met = shared.select("node", F.inline("held")).select(*columns)
     met = met.unionByName(_met(materialize(_run_keys(shared, k, window, min_words), "runs")).select(*columns))
-    matches = met.where("node <> other").groupBy("node").agg(F.collect_set(F.struct("other", "at", "there")).alias("matches"))
+    matches = matched(met)
     # texts are looked up by fingerprint and id of the row that stands for them
     texts = df.select(F.xxhash64(q(text_col)).alias("fp"), q(id_col).alias("of"), q(text_col).alias("text"))
     names = nodes.select("node", "least_id")
@@ -541,10 +781,20 @@ def repeated_passages(
         named = rows.join(names.select(F.col("node").alias(key), "least_id"), key)
         return named.join(texts, (F.col(key) == F.col("fp")) & F.col("least_id").eqNullSafe(F.col("of")))
 
-    regions = _regions(with_text(matches, "node"), k, min_words)
-    found = materialize(
-        _aligned(with_text(regions, "other"), k, min_words, min_identity).distinct(), "passages"
-    )
+    def aligned(matches: DataFrame) -> DataFrame:
+        regions = _regions(with_text(matches, "node"), k, min_words)
+        return materialize(_aligned(with_text(regions, "other"), k, min_words, min_identity).distinct(), "passages")
+
+    found = aligned(matches)
+    places = _open(shared, found, k).groupBy("node").agg(F.collect_list(F.struct("h", "at", "label", "n")).alias("places"))
+    around = materialize(_around(with_text(places, "node"), k, 2 * min_words), "around")
+    left = materialize(_left(around, k, min_words, min_identity).distinct(), "left")
+    discard(around)
+    # with all other seeds that the two share, as chains need them
+    held = shared.select("node", F.inline("held")).select("node", "h", "at")
+    of_other = held.groupBy(F.col("node").alias("other"), "h").agg(F.min("at").alias("there"))
+    more = left.select("node", "other").distinct().join(held, "node").join(of_other, ["other", "h"]).select(*columns)
+    found = found.unionByName(aligned(matched(left.select(*columns).unionByName(more)))).distinct()
     partial = (
         found.join(names.withColumnRenamed("least_id", "id"), "node")
         .join(names.select(F.col("node").alias("other"), F.col("least_id").alias("other_id")), "other")
