@@ -180,3 +180,26 @@ def test_edges(spark):
     ]
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "u int, v int")
     assert {r.node: r.label for r in components(chain).collect()} == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_counters_tell_rare_shingles_from_shared_ones_at_6_gb():
+    """With 900 million shingles counted, about those of 6 GB, few that 20 texts share are among the keys of a text."""
+    rng = np.random.default_rng(8)
+    counted = rng.poisson(900e6 / ngram_join.SLOTS, ngram_join.SLOTS).astype(np.uint32)
+    keys = shared_keys = 0
+    for _ in range(20):
+        s = np.unique(rng.integers(0, 2**64, 300, dtype=np.uint64))
+        common = rng.choice(s, 60, replace=False)
+        here = counted.copy() if not keys else here
+        at = ngram_join._slots(common)
+        here[at] += 20
+        first = keys_of(s, here, 80).view(np.uint64) & ~np.uint64(1)
+        keys += len(first)
+        shared_keys += int(np.isin(first, common & ~np.uint64(1)).sum())
+    assert shared_keys < 0.005 * keys, (shared_keys, keys)
+
+
+def test_levels_keep_the_order():
+    counts = np.array([0, 1, 2, 3, 4, 7, 8, 100, 255, 1000, 10**6, 2**32], np.uint64)
+    levels = ngram_join._levels(counts).astype(int)
+    assert levels[0] == 0 and (np.diff(levels) > 0).all()

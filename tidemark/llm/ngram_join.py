@@ -38,13 +38,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, materialize, q, releasing, settled
+from .shared import discard, materialize, q, releasing, settled, swept
 
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 #: Limits of a tile, and the hubs of a band.
 TILE_DOCS, TILE_SHINGLES, HUBS = 4000, 3_000_000, 32
 #: Counters of shingles, a power of two, and how many are sent together.
-SLOTS, _BLOCK = 1 << 22, 1 << 14
+SLOTS, _BLOCK = 1 << 25, 1 << 14
 _CACHED, _CACHED_WORDS = 400_000, 100_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -150,21 +150,23 @@ def _counts(df: DataFrame, text_col: str, k: int) -> np.ndarray:
     """How many sets have a shingle of each slot; of equal sets in a task the first counts.
 
     Each task gives its table in blocks, a count of 255 and more as 255, which
-    are added up by block: what comes to the driver is ``SLOTS`` numbers at any
+    are added up by block: what comes to the driver is ``SLOTS`` bytes at any
     size of the input.  The counts only order the shingles.
     """
+    spark = df.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, table = _Words(), _Seen(), np.zeros(SLOTS, np.uint32)
+        words, seen, table = _Words(), _Seen(), np.zeros(SLOTS, np.uint8)
         for batch in batches:
             for text in batch.column(0):
                 s = shingles(text.as_py(), k, words)
                 if seen.new(xxhash.xxh3_128_digest(s.tobytes())):
-                    np.add.at(table, _slots(s), np.uint32(1))
+                    at = _slots(s)
+                    table[at] += table[at] < 255
         parts = table.reshape(-1, _BLOCK)
         some = np.flatnonzero(parts.any(axis=1))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(some, pa.int32()), pa.array([parts[i].clip(max=255).astype(np.uint8).tobytes() for i in some], pa.binary())], ["block", "counts"]
+            [pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())], ["block", "counts"]
         )
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,16 +175,23 @@ def _counts(df: DataFrame, text_col: str, k: int) -> np.ndarray:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 total = held.setdefault(block, np.zeros(_BLOCK, np.uint64))
                 total += np.frombuffer(counts, np.uint8)
-        data = [c.clip(max=2**32 - 1).astype(np.uint32).tobytes() for c in held.values()]
+        data = [_levels(c).tobytes() for c in held.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(data, pa.binary())], ["block", "counts"])
 
     kind = "block int, counts binary"
-    out = np.zeros(SLOTS, np.uint32)
-    for row in df.select(q(text_col)).mapInArrow(releasing(run), kind).repartition("block").mapInArrow(releasing(add), kind).collect():
-        out[row.block * _BLOCK : (row.block + 1) * _BLOCK] = np.frombuffer(row.counts, np.uint32)
+    out = np.zeros(SLOTS, np.uint8)
+    with swept(spark):
+        blocks = df.select(q(text_col)).mapInArrow(releasing(run), kind).repartition("block").mapInArrow(releasing(add), kind).collect()
+    for row in blocks:
+        out[row.block * _BLOCK : (row.block + 1) * _BLOCK] = np.frombuffer(row.counts, np.uint8)
     return out
 
 
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes of the same order: 0, and eight steps for each power of two from 1 on."""
+    return np.where(counts > 0, 1 + np.floor(8 * np.log2(np.maximum(counts, 1))), 0).clip(max=255).astype(np.uint8)
+
+
 class _Seen(set):
     """Names a task has met, as many as it can keep."""
 
