@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from tidemark.llm.substring_dedup import GAP_COST, _meet, _regions, agreeing, align, chains, passages, repeated_passages, runs, seeds
+from tidemark.llm.substring_dedup import GAP_COST, _agreeing_around, _meet, _regions, agreeing, align, chains, passages, repeated_passages, runs, seeds
 
 
 def best_chain(matches, k):
@@ -241,3 +241,23 @@ def test_few_and_many_places_meet_alike():
         for sides in (np.zeros(n, int), np.arange(n) % 2 + 1):
             met = _meet(x, sides, np.arange(n), np.arange(n), [[]] * n, 6, 50, 0.8)
             assert {tuple(sorted(map(int, p))) for p in met} == want
+
+
+def test_chains_of_two_texts_share_their_words(spark):
+    """Lone matches side by side go through the shuffle in one row, with the words around them once."""
+    matches = [(10, a, 500 - a) for a in range(100, 200, 10)] + [(10, 390, 90)]
+    rows = spark.createDataFrame([(1, matches, " ".join(f"w{i}" for i in range(400)))], "node long, matches array<struct<other:long,at:int,there:int>>, text string")
+    near, far = sorted(_regions(rows, 8, 50).collect(), key=lambda r: r.start)
+    assert list(zip(near.p, near.h, strict=True)) == [(a, 500 - a) for a in range(100, 200, 10)] and list(near.sizes) == [1] * 10
+    assert (near.start, len(near.words)) == (36, 190 + 8 + 64 - 36)
+    assert (far.start, len(far.words), list(far.p), list(far.h)) == (326, 400 - 326, [390], [90])
+
+
+def test_agreement_around_lone_matches_is_that_of_their_diagonals():
+    rng = np.random.default_rng(8)
+    a, b = (rng.integers(0, 3, n).astype(np.int32) for n in (150, 400))
+    p, h = rng.integers(0, 142, 5000), rng.integers(0, 392, 5000)
+    got = _agreeing_around(a, b, p, h, 8)
+    for i, j, n in zip(p.tolist(), h.tolist(), got.tolist(), strict=True):
+        steps = range(-min(i, j, 64), min(8 + 64, 150 - i, 400 - j))
+        assert n == sum(a[i + t] == b[j + t] for t in steps)

@@ -407,24 +407,30 @@ def _met(keys: DataFrame) -> DataFrame:
     return held.join(places, "h")
 
 
-REGION = "node long, other long, start int, there int, first int, p array<int>, h array<int>, words array<int>"
+REGION = "node long, other long, start int, sizes array<int>, p array<int>, h array<int>, words array<int>"
 
 
 def _regions(rows: DataFrame, k: int, min_words: int) -> DataFrame:
-    """Chains of (node, matches, text) that may reach ``min_words``, with the words around them."""
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-    names = ["node", "other", "start", "there", "first", "p", "h", "words"]
+    """Chains of (node, matches, text) that may reach ``min_words``, with the words around them.
+
+    Chains of two texts whose words overlap share a row, so the words, and the
+    text they are held against, go through a shuffle once; ``sizes`` are the
+    numbers of matches of each.
+    """
+    kinds = [pa.int64(), pa.int64(), pa.int32()]
+    names = ["node", "other", "start", "sizes", "p", "h", "words"]
 
     def made(out: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*out, strict=True))
-        arrays = [pa.array(c, t) for c, t in zip(columns[:5], kinds, strict=True)]
-        places = np.array([m for chain in columns[5] for m in chain], np.int32)
-        ends = pa.array(np.cumsum([0, *map(len, columns[5])]).astype(np.int32))
+        arrays = [pa.array(c, t) for c, t in zip(columns[:3], kinds, strict=True)]
+        sizes = [np.array([len(chain) for chain in held], np.int32) for held in columns[3]]
+        places = np.array([m for held in columns[3] for chain in held for m in chain], np.int32)
+        ends = pa.array(np.cumsum([0, *(int(x.sum()) for x in sizes)]).astype(np.int32))
         pairs = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(places[:, i]))) for i in (0, 1)]
-        return pa.RecordBatch.from_arrays([*arrays, *pairs, _column(columns[6], pa.int32())], names)
+        return pa.RecordBatch.from_arrays([*arrays, _column(sizes, pa.int32()), *pairs, _column(columns[4], pa.int32())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, out = _Words(), []
+        words, out, held_words = _Words(), [], 0
         for batch in batches:
             offsets, *held = _lists(batch.column(1), "other", "at", "there")
             for i, node in enumerate(batch.column(0).to_pylist()):
@@ -433,24 +439,40 @@ def _regions(rows: DataFrame, k: int, min_words: int) -> DataFrame:
                     by.setdefault(other, []).append((at, there))
                 h = word_hashes(batch.column(2)[i].as_py(), words).astype(np.uint32).view(np.int32)
                 for other, found in by.items():
+                    kept = []
                     for whole in chains(found, k) if len(found) > 1 else [found]:
                         for chain in unbroken(whole, k) if len(whole) > 1 else [whole]:
                             (p0, h0), (p1, h1) = chain[0], chain[-1]
-                            if min(p1 - p0, h1 - h0) + k + 2 * MARGIN < min_words:
-                                continue
-                            start = max(0, p0 - MARGIN)
-                            out.append((node, other, start, max(0, h0 - MARGIN), h1 + k + MARGIN, chain, h[start : p1 + k + MARGIN]))
-                if len(out) >= 500:
-                    yield made(out)
-                    out = []
+                            if min(p1 - p0, h1 - h0) + k + 2 * MARGIN >= min_words:
+                                kept.append(chain)
+                    for together in overlapping(kept, k):
+                        start, end = max(0, together[0][0][0] - MARGIN), max(c[-1][0] for c in together) + k + MARGIN
+                        out.append((node, other, start, together, h[start:end]))
+                        held_words += len(out[-1][4])
+                        if len(out) >= 500 or held_words >= 1_000_000:
+                            yield made(out)
+                            out, held_words = [], 0
         if out:
             yield made(out)
 
     return rows.select("node", "matches", "text").mapInArrow(releasing(run), REGION)
 
 
+def overlapping(found: list[list[tuple[int, int]]], k: int) -> list[list[list[tuple[int, int]]]]:
+    """Chains by their first places, those whose words and margins overlap together."""
+    out, end = [], 0
+    for chain in sorted(found):
+        if max(0, chain[0][0] - MARGIN) >= end:
+            out.append([])
+        out[-1].append(chain)
+        end = max(end, chain[-1][0] + k + MARGIN)
+    return out
+
+
 #: Places of a seed that are held against each other in one task; more are cut into blocks that meet two by two.
 BLOCK = 16384
+#: Words of a stretch of a text, by which places and passages are joined.
+STRETCH = 64
 AROUND = "h long, node long, at int, label long, n long, words binary, near array<long>, off array<int>"
 
 
@@ -460,7 +482,10 @@ def _open(shared: DataFrame, found: DataFrame, k: int) -> DataFrame:
     A holder's label is the least other one to which a passage over the seed in both joins it, or its own node.
     """
     places = shared.select("node", F.inline("held")).select("h", "node", "at").distinct()
-    over = places.join(found.select("node", "other", "start", "end", "other_start", "other_end"), "node").where(
+    # a place meets only passages over its own stretch of the text
+    near = F.explode(F.sequence(F.floor(F.col("start") / STRETCH), F.floor((F.col("end") - k) / STRETCH))).alias("stretch")
+    laid = found.select("node", "other", "start", "end", "other_start", "other_end", near)
+    over = places.withColumn("stretch", F.floor(F.col("at") / STRETCH)).join(laid, ["node", "stretch"]).where(
         (F.col("start") <= F.col("at")) & (F.col("at") + k <= F.col("end"))
     )
     there = places.select("h", F.col("node").alias("other"), F.col("at").alias("there"))
@@ -681,6 +706,43 @@ def _left(around: DataFrame, k: int, min_words: int, min_identity: float) -> Dat
     return dealt.mapInArrow(releasing(run), "node long, other long, at int, there int")
 
 
+def _agreeing_around(a: np.ndarray, b: np.ndarray, p: np.ndarray, h: np.ndarray, k: int) -> np.ndarray:
+    """For each match (p in a, h in b) how many words agree on its diagonal, up to ``MARGIN`` beyond it."""
+    wide = k + 2 * MARGIN
+    own, other = (np.pad(x.astype(np.int64), wide, constant_values=1 << n) for x, n in ((a, 40), (b, 41)))  # no hash of 32 bits
+    span = np.arange(-MARGIN, k + MARGIN) + wide
+    found = [np.zeros(0, np.int64)]
+    for i in range(0, len(p), 2000):
+        rows = slice(i, i + 2000)
+        found.append(np.count_nonzero(own[p[rows, None] + span] == other[h[rows, None] + span], axis=1))
+    return np.concatenate(found)
+
+
+def _held_against(
+    a: np.ndarray, b: np.ndarray, p: np.ndarray, h: np.ndarray, k: int, min_words: int, min_identity: float
+) -> list[tuple[int, int, int, int, int, float]]:
+    """The passages of a chain of matches (p in a, h in b), each with its identity."""
+    least, shift = min_identity * min_words, int(h[0]) - int(p[0])
+    if len(p) == 1 or (h - p == shift).all():
+        # no more words than agree on the diagonal of the chain can be aligned
+        lo = max(0, -shift)
+        equal = _equal(a[lo:], b[lo + shift :])
+        if np.count_nonzero(equal) < least:
+            return []
+        first, last = int(p[0]) - lo, int(p[-1]) + k - lo
+        if equal[first:last].all():  # nothing to align between the matches
+            s = first - _extended(equal[:first][::-1])
+            e = last + _extended(equal[last:])
+            same = int(np.count_nonzero(equal[s:e]))
+            if e - s < min_words or same < least:
+                return []
+            if same >= min_identity * (e - s):
+                s, e = s + lo, e + lo
+                return [(s, e, s + shift, e + shift, same, same / (e - s))]
+    found = passages(a, b, list(zip(p.tolist(), h.tolist(), strict=True)), k, min_words, min_identity)
+    return [(s, e, so, eo, same, same / max(e - s, eo - so)) for s, e, so, eo, same in found]
+
+
 PASSAGE = "node long, other long, start long, end long, other_start long, other_end long, n_words long, identity double"
 
 
@@ -692,38 +754,28 @@ def _aligned(rows: DataFrame, k: int, min_words: int, min_identity: float) -> Da
         words, held, hashes = _Words(), None, None
         for batch in batches:
             out = []
-            nodes, others, starts, theres, firsts = (batch.column(i).to_pylist() for i in range(5))
-            at, ps = _lists(batch.column(5))
-            _, hs = _lists(batch.column(6))
-            cut, all_words = _lists(batch.column(7))
+            nodes, others, starts = (batch.column(i).to_pylist() for i in range(3))
+            chain, sizes = _lists(batch.column(3))
+            at, ps = _lists(batch.column(4))
+            _, hs = _lists(batch.column(5))
+            cut, all_words = _lists(batch.column(6))
             for i in range(len(batch)):
                 if others[i] != held:  # rows against one text stand together
                     held = others[i]
-                    hashes = word_hashes(batch.column(8)[i].as_py(), words).astype(np.uint32).view(np.int32)
-                start, there = starts[i], theres[i]
-                a, b = all_words[cut[i] : cut[i + 1]], hashes[there : firsts[i]]
-                p, h = ps[at[i] : at[i + 1]] - start, hs[at[i] : at[i + 1]] - there
-                shift = int(h[0]) - int(p[0])
-                if len(p) == 1 or (h - p == shift).all():
-                    # no more words than agree on the diagonal of the chain can be aligned
-                    lo = max(0, -shift)
-                    equal = _equal(a[lo:], b[lo + shift :])
-                    if np.count_nonzero(equal) < least:
-                        continue
-                    first, last = int(p[0]) - lo, int(p[-1]) + k - lo
-                    if equal[first:last].all():  # nothing to align between the matches
-                        s = first - _extended(equal[:first][::-1])
-                        e = last + _extended(equal[last:])
-                        same = int(np.count_nonzero(equal[s:e]))
-                        if e - s < min_words or same < least:
-                            continue
-                        if same >= min_identity * (e - s):
-                            s, e = s + lo, e + lo
-                            out.append((nodes[i], held, s + start, e + start, s + shift + there, e + shift + there, same, same / (e - s)))
-                            continue
-                local = list(zip(p.tolist(), h.tolist(), strict=True))
-                for s, e, so, eo, same in passages(a, b, local, k, min_words, min_identity):
-                    out.append((nodes[i], held, s + start, e + start, so + there, eo + there, same, same / max(e - s, eo - so)))
+                    hashes = word_hashes(batch.column(7)[i].as_py(), words).astype(np.uint32).view(np.int32)
+                around = all_words[cut[i] : cut[i + 1]]
+                ends = at[i] + np.cumsum(sizes[chain[i] : chain[i + 1]])
+                begins = ends - sizes[chain[i] : chain[i + 1]]
+                lone = ends - begins == 1
+                some = ~lone
+                some[lone] = _agreeing_around(around, hashes, ps[begins[lone]] - starts[i], hs[begins[lone]], k) >= least
+                for begin, end in zip(begins[some].tolist(), ends[some].tolist(), strict=True):
+                    start, there = max(0, int(ps[begin]) - MARGIN), max(0, int(hs[begin]) - MARGIN)
+                    a = around[start - starts[i] : int(ps[end - 1]) + k + MARGIN - starts[i]]
+                    b = hashes[there : int(hs[end - 1]) + k + MARGIN]
+                    p, h = ps[begin:end] - start, hs[begin:end] - there
+                    for s, e, so, eo, same, share in _held_against(a, b, p, h, k, min_words, min_identity):
+                        out.append((nodes[i], held, s + start, e + start, so + there, eo + there, same, share))
             columns = list(zip(*out, strict=True)) if out else [[]] * 8
             kinds = [pa.int64()] * 7 + [pa.float64()]
             yield pa.RecordBatch.from_arrays(
@@ -731,7 +783,7 @@ def _aligned(rows: DataFrame, k: int, min_words: int, min_identity: float) -> Da
                 ["node", "other", "start", "end", "other_start", "other_end", "n_words", "identity"],
             )
 
-    picked = rows.select("node", "other", "start", "there", "first", "p", "h", "words", "text")
+    picked = rows.select("node", "other", "start", "sizes", "p", "h", "words", "text")
     return picked.mapInArrow(releasing(run), PASSAGE)
 
 
@@ -763,12 +815,14 @@ def repeated_passages(
     a text count as copies; an empty table gives an empty result; other columns
     are not read.
     """
-    docs = materialize(_seeded(df, id_col, text_col, k, window), "seeds")
-    nodes = docs.groupBy("node").agg(F.min("id").alias("least_id"))
-    flat = docs.select("node", F.inline("seeds"))
+    seeded = materialize(_seeded(df, id_col, text_col, k, window), "seeds")
+    flat = seeded.select("node", F.inline("seeds"))
     shared = materialize(
         _met(flat).groupBy("node").agg(F.collect_set(F.struct("h", "at", "other", "there")).alias("held")), "shared"
     )
+    docs = materialize(seeded.drop("seeds"), "texts")
+    discard(seeded)
+    nodes = docs.groupBy("node").agg(F.min("id").alias("least_id"))
     columns = ["node", "other", "at", "there"]
     met = shared.select("node", F.inline("held")).select(*columns)
     met = met.unionByName(_met(materialize(_run_keys(shared, k, window, min_words), "runs")).select(*columns))
@@ -782,12 +836,16 @@ def repeated_passages(
         return named.join(texts, (F.col(key) == F.col("fp")) & F.col("least_id").eqNullSafe(F.col("of")))
 
     def aligned(matches: DataFrame) -> DataFrame:
-        regions = _regions(with_text(matches, "node"), k, min_words)
-        return materialize(_aligned(with_text(regions, "other"), k, min_words, min_identity).distinct(), "passages")
+        regions = materialize(_regions(with_text(matches, "node"), k, min_words), "regions")
+        out = materialize(_aligned(with_text(regions, "other"), k, min_words, min_identity).distinct(), "passages")
+        discard(regions)
+        return out
 
     found = aligned(matches)
     places = _open(shared, found, k).groupBy("node").agg(F.collect_list(F.struct("h", "at", "label", "n")).alias("places"))
+    places = materialize(places, "open")
     around = materialize(_around(with_text(places, "node"), k, 2 * min_words), "around")
+    discard(places)
     left = materialize(_left(around, k, min_words, min_identity).distinct(), "left")
     discard(around)
     # with all other seeds that the two share, as chains need them
