@@ -203,3 +203,18 @@ def test_levels_keep_the_order():
     counts = np.array([0, 1, 2, 3, 4, 7, 8, 100, 255, 1000, 10**6, 2**32], np.uint64)
     levels = ngram_join._levels(counts).astype(int)
     assert levels[0] == 0 and (np.diff(levels) > 0).all()
+
+
+def test_counters_come_to_the_driver_in_parts(spark, monkeypatch):
+    """No collect holds the whole table, its broadcast goes once the keys are written, and freed memory is given back."""
+    sent, relieved = [], []
+    broadcast, relieve = type(spark.sparkContext).broadcast, shared.relieve
+    df = spark.createDataFrame([(i, f"a b c d e f g {i // 2}") for i in range(8)], "doc_id long, text string")
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "collect", lambda self: (_ for _ in ()).throw(AssertionError("collect")))
+        m.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(broadcast(self, value)) or sent[-1])
+        m.setattr(shared, "relieve", lambda session: relieved.append(session) or relieve(session))
+        got = jaccard_components(df)
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(i, i // 2 * 2) for i in range(8)]
+    assert len(sent) == 1 and not sent[0]._jbroadcast.isValid() and len(relieved) > 5
+    assert shared.trimmed(spark)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, materialize, q, releasing, settled, swept
+from .shared import discard, materialize, q, releasing, settled
 
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 #: Limits of a tile, and the hubs of a band.
@@ -153,7 +153,6 @@ def _counts(df: DataFrame, text_col: str, k: int) -> np.ndarray:
     are added up by block: what comes to the driver is ``SLOTS`` bytes at any
     size of the input.  The counts only order the shingles.
     """
-    spark = df.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen, table = _Words(), _Seen(), np.zeros(SLOTS, np.uint8)
@@ -180,10 +179,11 @@ def _counts(df: DataFrame, text_col: str, k: int) -> np.ndarray:
 
     kind = "block int, counts binary"
     out = np.zeros(SLOTS, np.uint8)
-    with swept(spark):
-        blocks = df.select(q(text_col)).mapInArrow(releasing(run), kind).repartition("block").mapInArrow(releasing(add), kind).collect()
-    for row in blocks:
+    # the driver takes the table from files, one partition at a time: a collect holds it several times over
+    blocks = materialize(df.select(q(text_col)).mapInArrow(releasing(run), kind).repartition("block").mapInArrow(releasing(add), kind), "counts")
+    for row in blocks.toLocalIterator():
         out[row.block * _BLOCK : (row.block + 1) * _BLOCK] = np.frombuffer(row.counts, np.uint8)
+    discard(blocks)
     return out
 
 
@@ -205,7 +205,7 @@ class _Seen(set):
 
 
 def _described(df: DataFrame, id_col: str, text_col: str, k: int, percent: int, parts: bool) -> DataFrame:
-    """id, fp (hash of the text), n, sig (16 bytes that name the set), node (its first 8) and keys.
+    """id, fp (hash of the text), n, sig (16 bytes that name the set), node (its first 8) and keys, written.
 
     Of equal sets in a task only the first has keys, so a group of copies has no more than the number of tasks.
     """
@@ -234,9 +234,14 @@ def _described(df: DataFrame, id_col: str, text_col: str, k: int, percent: int,
                 )
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(q(id_col).alias("id"), F.xxhash64(q(text_col)).alias("fp"), q(text_col).alias("text")).mapInArrow(
+    described = df.select(q(id_col).alias("id"), F.xxhash64(q(text_col)).alias("fp"), q(text_col).alias("text")).mapInArrow(
         releasing(run), f"id {kind}, fp long, n long, sig binary, node long, keys array<long>"
     )
+    try:
+        return materialize(described, "shingled")
+    finally:
+        if held is not None:
+            held.destroy()  # else it stays until the driver happens to collect its garbage
 
 
 def _shared(docs: DataFrame) -> DataFrame:
@@ -421,7 +426,7 @@ def jaccard_components(
 
     ``parts`` tells by which keys sets meet; the result is the same.
     """
-    described = materialize(_described(df, id_col, text_col, k, percent, parts), "shingled")
+    described = _described(df, id_col, text_col, k, percent, parts)
     shared = _shared(described)
     docs = materialize(described.drop("keys"), "sets")
     discard(described)  # the keys take more room than all that follows

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,9 +64,39 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     if not _written:
         atexit.register(_clean)
     _written.append((spark, path))
+    relieve(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def relieve(spark: SparkSession) -> None:
+    """Give back what the driver has used for the last query.
+
+    Plans, generated classes and what compiled them are garbage after a query,
+    but the allocator keeps what is freed, and a heap grows to its limit before
+    most of it is collected: after many queries in a row these add up.
+    """
+    jvm = spark.sparkContext._jvm
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    if 2 * runtime.totalMemory() > runtime.maxMemory():
+        jvm.java.lang.System.gc()
+    trimmed(spark)
+
+
+def trimmed(spark: SparkSession) -> bool:
+    """Whether the driver's JVM could give back what its allocator keeps; HotSpot on Linux can."""
+    sc = spark.sparkContext
+    jvm, args = sc._jvm, sc._gateway.new_array(sc._jvm.java.lang.Object, 4)
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    # by the interface: the server's own class is not open to py4j
+    invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    try:
+        invoke.invoke(server, args)
+    except Py4JError:
+        return False
+    return True
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a materialized table that nothing reads any more."""
     for entry in list(_written):
