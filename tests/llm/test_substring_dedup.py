@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from tidemark.llm.substring_dedup import GAP_COST, _agreeing_around, _meet, _regions, agreeing, align, chains, passages, repeated_passages, runs, seeds
+from tidemark.llm.substring_dedup import GAP_COST, _agreeing_around, _alone, _meet, _open, _regions, agreeing, align, chains, may_align, passages, repeated_passages, runs, seeds
 
 
 def best_chain(matches, k):
@@ -261,3 +261,97 @@ def test_agreement_around_lone_matches_is_that_of_their_diagonals():
     for i, j, n in zip(p.tolist(), h.tolist(), got.tolist(), strict=True):
         steps = range(-min(i, j, 64), min(8 + 64, 150 - i, 400 - j))
         assert n == sum(a[i + t] == b[j + t] for t in steps)
+
+
+def met(x, near):
+    n = len(x)
+    return [tuple(sorted(map(int, p))) for p in _meet(x, np.zeros(n, int), np.arange(n), np.arange(n), near, 6, 50, 0.8)]
+
+
+def test_texts_that_share_less_than_a_passage_do_not_meet():
+    """40 to 49 words alike, or two lines far enough apart, are no passage: no pair of them goes on to be aligned."""
+    rng = np.random.default_rng(7)
+    for n in (40, 400):
+        x = rng.integers(1, 2**32, (n, 206)).astype(np.uint32)
+        x[:, 100:145] = x[0, 100:145]
+        assert met(x, [[]] * n) == []
+    x = rng.integers(1, 2**32, (20, 206)).astype(np.uint32)
+    line = x[0, :24].copy()
+    x[:, 100:124] = x[0, 100:124]
+    for i in range(20):
+        x[i, 144 + i : 168 + i] = line
+    assert met(x, [[(7, 44 + i)] for i in range(20)]) == []
+
+
+def test_a_family_that_shares_a_passage_has_no_more_links_than_texts():
+    """Two lines of 24 words with 2 to 8 others between: every text is linked, but not every pair."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(1, 2**32, (21, 206)).astype(np.uint32)
+    line, near = x[0, :24].copy(), []
+    x[:, 100:124] = x[0, 100:124]
+    for i in range(21):
+        at = 126 + i % 7
+        x[i, at : at + 24] = line
+        near.append([(9, 12), (7, at - 100), (8, at + 9 - 100)])
+    found = met(x, near)
+    linked, grown = {0}, True
+    while grown:
+        more = {j for p in found if set(p) & linked for j in p} - linked
+        grown = bool(more)
+        linked |= more
+    assert linked == set(range(21)) and len(found) == 20
+
+
+def test_what_may_align_is_no_less_than_what_does():
+    rng = np.random.default_rng(10)
+    x = rng.integers(1, 2**32, (600, 206)).astype(np.uint32)
+    y = rng.integers(1, 2**32, (600, 206)).astype(np.uint32)
+    want = np.zeros(600, bool)
+    for i in range(600):
+        # a copy of what is around the middle, with words changed, dropped and put in
+        keep, lost = rng.random(206) >= 0.22 * rng.random(), rng.random(206) < 0.04 * rng.random()
+        begin, stop = 100 - int(rng.integers(0, 60)), 106 + int(rng.integers(0, 60))
+        changed = np.where(keep, x[i], y[i])
+        after, before = changed[106:stop][~lost[106:stop]], changed[begin:100][~lost[begin:100]]
+        y[i, 100:106], y[i, 106 : 106 + len(after)] = x[i, 100:106], after
+        y[i, 100 - len(before) : 100] = before
+        every = [(p, h) for p in range(201) for h in range(max(0, p - 20), min(201, p + 21)) if (x[i, p : p + 6] == y[i, h : h + 6]).all()]
+        chain = next(c for c in chains(every, 6) if (100, 100) in c)
+        want[i] = any(s <= 100 and 106 <= e for s, e, *_ in passages(x[i], y[i], chain, 6, 50, 0.8))
+    got = may_align(x, y, 6, 50, 0.8)
+    assert 100 < want.sum() < 500 and got[want].all() and got.sum() < want.sum() + 60
+    equal = x == y
+    for a, b, wide, same in zip(x, y, *_alone(equal, 100, 6), strict=True):
+        s, e, _, _, n = align(a, b, [(100, 100)], 6)
+        assert (e - s, n) == (wide, same)
+
+
+def test_open_seeds_are_those_with_several_labels(spark):
+    rng = random.Random(11)
+    places = {(rng.randrange(20), rng.randrange(20), rng.randrange(0, 300)) for _ in range(60)}  # h, node, at
+    first = {h: min(n for g, n, _ in places if g == h) for h, _, _ in places}
+    there = {h: min(at for g, n, at in places if g == h and n == first[h]) for h in first}
+    held = {}
+    for h, node, at in places:
+        held.setdefault(node, []).append((h, at, first[h], there[h]))
+    found = []
+    for node in held:
+        for _ in range(20):
+            s, o = rng.randrange(0, 60), rng.randrange(0, 60)
+            found.append((node, rng.randrange(0, 10), s, s + 240, o, o + 240))
+    found = [p for p in found if p[0] > p[1]]
+    label = {}
+    for h, node, at in places:
+        over = [q for n, q, s, e, so, eo in found for g, m, to in places if n == node and (g, m) == (h, q) and s <= at and at + 6 <= e and so <= to and to + 6 <= eo]
+        label[h, node] = min([node, *over, label.get((h, node), node)])
+    want = set()
+    for h in first:
+        own = [(node, at, label[h, node]) for g, node, at in places if g == h]
+        if len({x[2] for x in own}) > 1:
+            want |= {(h, node, at, to, len(own)) for node, at, to in own}
+    kind = "node long, held array<struct<h:long,at:int,other:long,there:int>>"
+    shared = spark.createDataFrame(list(held.items()), kind)
+    laid = spark.createDataFrame(found, "node long, other long, start long, end long, other_start long, other_end long")
+    got = [tuple(r) for r in _open(shared, laid, 6).select("h", "node", "at", "label", "n").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+    assert {h for h in first if len({n for g, n, _ in places if g == h}) > 1} - {h for h, *_ in want}  # some are joined to one

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ngram_join import MIX, _Words
-from .shared import discard, materialize, q, releasing
+from .shared import discard, materialize, q, releasing, settled
 
 _WORD = (1 << 64) - 1
 _PLACE = np.uint64((1 << 24) - 1)
@@ -476,15 +476,46 @@ STRETCH = 64
 AROUND = "h long, node long, at int, label long, n long, words binary, near array<long>, off array<int>"
 
 
+def _apart(rows: DataFrame, k: int) -> DataFrame:
+    """Seeds h of (node, held, laid) that a node holds and no passage over it joins to the seed's first holder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            offsets, h, at, first, there = _lists(batch.column(1), "h", "at", "other", "there")
+            cuts, other, start, end, other_start, other_end = _lists(
+                batch.column(2), "other", "start", "end", "other_start", "other_end"
+            )
+            over = first == np.repeat(batch.column(0).to_numpy(), np.diff(offsets))
+            for lo, hi, begin, stop in zip(offsets, offsets[1:], cuts, cuts[1:], strict=False):
+                for text in np.unique(other[begin:stop]).tolist():
+                    held, laid = lo + np.flatnonzero(first[lo:hi] == text), begin + np.flatnonzero(other[begin:stop] == text)
+                    for i in range(0, len(held), 1000):  # places by passages
+                        some = held[i : i + 1000]
+                        p, q = at[some, None], there[some, None]
+                        fits = (start[laid] <= p) & (p + k <= end[laid]) & (other_start[laid] <= q) & (q + k <= other_end[laid])
+                        over[some] |= fits.any(axis=1)
+                # one place of a seed that is joined is enough
+                over[lo:hi] |= np.isin(h[lo:hi], h[lo:hi][over[lo:hi]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(h[~over]))], ["h"])
+
+    return rows.select("node", "held", "laid").mapInArrow(releasing(run), "h long")
+
+
 def _open(shared: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """(h, node, at, label, n) of the seeds whose holders do not all have one label; n places in all.
 
-    A holder's label is the least other one to which a passage over the seed in both joins it, or its own node.
+    A holder's label is the least other one to which a passage over the seed in both joins it, or its own node.  No
+    holder is less than the first one, so a seed has one label if all are joined to that: most go by this, which takes
+    the passages of a text to its own seeds; only places of the others are joined to passages one by one.
     """
-    places = shared.select("node", F.inline("held")).select("h", "node", "at").distinct()
+    side = ["other", "start", "end", "other_start", "other_end"]
+    laid = found.groupBy("node").agg(F.collect_list(F.struct(*side)).alias("laid"))
+    empty = F.array().cast(laid.schema["laid"].dataType)
+    apart = _apart(shared.join(laid, "node", "left").withColumn("laid", F.coalesce("laid", empty)), k).distinct()
+    places = materialize(shared.select("node", F.inline("held")).select("h", "node", "at").join(apart, "h", "left_semi"), "places")
     # a place meets only passages over its own stretch of the text
     near = F.explode(F.sequence(F.floor(F.col("start") / STRETCH), F.floor((F.col("end") - k) / STRETCH))).alias("stretch")
-    laid = found.select("node", "other", "start", "end", "other_start", "other_end", near)
+    laid = found.select("node", *side, near)
     over = places.withColumn("stretch", F.floor(F.col("at") / STRETCH)).join(laid, ["node", "stretch"]).where(
         (F.col("start") <= F.col("at")) & (F.col("at") + k <= F.col("end"))
     )
@@ -581,6 +612,21 @@ def _grams(x: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return key[keep], row[keep]
 
 
+def _alone(equal: np.ndarray, middle: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words, and those that agree, of the alignment (``align``) of the match in the middle alone; for rows of words that agree."""
+    rows, wide, same = np.arange(len(equal)), np.full(len(equal), k), equal[:, middle : middle + k].sum(axis=1)
+    for side in (equal[:, :middle][:, ::-1], equal[:, middle + k :]):
+        side = side[:, :MARGIN]
+        run = np.cumsum(side * np.int32(3) - np.int32(2), axis=1)
+        dropped = np.maximum.accumulate(np.maximum(run, 0), axis=1) - run >= DROP
+        run[np.logical_or.accumulate(dropped, axis=1)] = -1
+        best = run.argmax(axis=1)
+        words = np.where(run[rows, best] > 0, best + 1, 0)
+        wide += words
+        same += (side & (np.arange(side.shape[1]) < words[:, None])).sum(axis=1)
+    return wide, same
+
+
 def _meet(x: np.ndarray, sides: np.ndarray, labels: np.ndarray, nodes: np.ndarray, near: list, k: int, min_words: int, min_identity: float):
     """Pairs of rows (i, j) with passages over the seed in their middle, or that may have such if more is looked at.
 
@@ -597,21 +643,45 @@ def _meet(x: np.ndarray, sides: np.ndarray, labels: np.ndarray, nodes: np.ndarra
         lo, hi = max(begins[i], begins[j]), min(stops[i], stops[j])
         return bool(passages(x[i, lo:hi], x[j, lo:hi], [(middle - lo, middle - lo)], k, min_words, min_identity))
 
+    def led(i: int, j: int) -> bool:
+        """Whether the seeds that both have around the middle one lead to a passage over it."""
+        there: dict[int, list[int]] = {}
+        for g, to in near[j]:
+            there.setdefault(g, []).append(middle + to)
+        lo, there_lo, mid = int(begins[i]), int(begins[j]), (middle - int(begins[i]), middle - int(begins[j]))
+        matches = [mid, *((middle + to - lo, q - there_lo) for g, to in near[i] for q in there.get(g, ()))]
+        a, b = x[i, lo : stops[i]], x[j, there_lo : stops[j]]
+        return any(
+            s <= mid[0] and mid[0] + k <= e and so <= mid[1] and mid[1] + k <= eo
+            for whole in chains(matches, k)
+            for chain in unbroken(whole, k)
+            if mid in chain
+            for s, e, so, eo, _ in passages(a, b, chain, k, min_words, min_identity)
+        )
+
     def linked(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
-        """Those with a stretch on the diagonal that reaches both bounds."""
+        """Those with a passage, or with a stretch over the seed on the diagonal that reaches both bounds.
+
+        As a passage does, a stretch starts and ends with a word that agrees.  One that lies beside the seed has seeds of
+        its own, or none that an alignment could start from.
+        """
         equal = (x[i] == x[j]) & (x[i] != 0)
         pick = np.flatnonzero(equal.sum(axis=1) >= least)
         i, j, equal = i[pick], j[pick], equal[pick]
         gain = np.cumsum(np.pad(equal, ((0, 0), (1, 0))) - np.float32(min_identity), axis=1)
-        low = np.minimum.accumulate(gain, axis=1)[:, : gain.shape[1] - min_words]
-        pick = (gain[:, min_words:] - low >= -1e-3).any(axis=1)
-        for a, b in zip(i[pick].tolist(), j[pick].tolist(), strict=True):
+        stop = np.arange(middle + k, gain.shape[1])
+        low = np.minimum.accumulate(np.where(equal, gain[:, :-1], np.float32(np.inf)), axis=1)
+        over = ((gain[:, stop] - low[:, np.minimum(stop - min_words, middle)] >= -1e-3) & equal[:, stop - 1]).any(axis=1)
+        wide, same = _alone(equal, middle, k)
+        alone = (wide >= min_words) & (same >= least)
+        pick = over | alone
+        for a, b, stretch, one in zip(i[pick].tolist(), j[pick].tolist(), over[pick].tolist(), alone[pick].tolist(), strict=True):
             if roots[a] == roots[b]:
                 continue
             pair = (int(nodes[a]), int(nodes[b]))
-            if joined(a, b):
+            if one and joined(a, b) or stretch and led(a, b):
                 roots[roots == roots[b]] = roots[a]
-            elif pair in told:
+            elif not stretch or pair in told:
                 continue
             told.add(pair)
             yield a, b
@@ -648,20 +718,76 @@ def _meet(x: np.ndarray, sides: np.ndarray, labels: np.ndarray, nodes: np.ndarra
         slot = (x * np.uint32(0x9E3779B1)) >> np.uint32(21)
         maps = np.zeros((n, 1 << 11), bool)
         maps[np.arange(n)[:, None], slot] = True
+        tried = set()
 
         def enough(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return (maps[j[:, None], slot[i]] & (x[i] != 0)).sum(axis=1) >= least
 
-        for a, b in _sharing(h, np.arange(len(h)), float("inf")):
-            some = (off[a] != off[b]) & may(row[a], row[b])
-            i, j = row[a[some]], row[b[some]]
-            pick = [np.zeros(0, bool), *(enough(i[at : at + 20_000], j[at : at + 20_000]) for at in range(0, len(i), 20_000))]
-            pick = np.concatenate(pick)
-            for i, j in zip(i[pick].tolist(), j[pick].tolist(), strict=True):
-                pair = (int(nodes[i]), int(nodes[j]))
-                if pair not in told and np.isin(x[i, begins[i] : stops[i]], x[j]).sum() >= least:
+        def elsewhere() -> Iterator[np.ndarray]:
+            """Pairs of rows as one number, many at once."""
+            held, size = [], 0
+            for a, b in _sharing(h, np.arange(len(h)), float("inf")):
+                some = (off[a] != off[b]) & may(row[a], row[b])
+                i, j = row[a[some]], row[b[some]]
+                held.append(np.minimum(i, j) * n + np.maximum(i, j))
+                size += len(i)
+                if size >= 20_000:
+                    yield np.unique(np.concatenate(held))
+                    held, size = [], 0
+            if size:
+                yield np.unique(np.concatenate(held))
+
+        for pairs in elsewhere():
+            for at in range(0, len(pairs), 4000):
+                i, j = np.divmod(pairs[at : at + 4000], n)
+                pick = np.flatnonzero((roots[i] != roots[j]) & enough(i, j))
+                pick = np.array([p for p in pick.tolist() if int(pairs[at + p]) not in tried], np.int64)
+                tried.update(pairs[at + pick].tolist())
+                pick = pick[may_align(x[i[pick]], x[j[pick]], k, min_words, min_identity)]
+                for p, q in zip(i[pick].tolist(), j[pick].tolist(), strict=True):
+                    pair = (int(nodes[p]), int(nodes[q]))
+                    if roots[p] == roots[q]:
+                        continue
+                    if led(p, q):
+                        roots[roots == roots[q]] = roots[p]
+                    elif pair in told:
+                        continue
                     told.add(pair)
-                    yield i, j
+                    yield p, q
+
+
+def _reach(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each pair of rows and each sum s of two lengths: the most words in order that agree of beginnings with s words
+    in all, whose last words are of these; -1 if there are no such."""
+    n, wide = a.shape
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    best, last = np.full((2 * wide + 1, n), -1, np.int16), np.zeros((wide + 1, n), np.int16)
+    best[0] = 0
+    for r in range(wide):
+        equal = (b == a[r]) & (a[r] != 0)
+        np.maximum.accumulate(np.maximum(last[1:], last[:-1] + equal), axis=0, out=last[1:])
+        ends = best[r + 2 : r + 2 + wide]
+        np.maximum(ends, np.where(equal, last[1:], -1), out=ends)
+    return best
+
+
+def may_align(a: np.ndarray, b: np.ndarray, k: int, min_words: int, min_identity: float) -> np.ndarray:
+    """Which pairs of rows may have a passage over the k words in their middle, however it is aligned.
+
+    What agrees on either side of the middle is no more than a longest common subsequence, and the longer side of a
+    passage has at least half of the words of both.
+    """
+    found = np.zeros(len(a), bool)
+    middle = (a.shape[1] - k) // 2
+    for at in range(0, len(a), 500):
+        x, y = a[at : at + 500], b[at : at + 500]
+        lead, tail = _reach(x[:, :middle][:, ::-1], y[:, :middle][:, ::-1]), _reach(x[:, middle + k :], y[:, middle + k :])
+        lost = min_identity / 2 * np.arange(len(lead), dtype=np.float32)[:, None]
+        lead, tail = (np.where(c < 0, np.float32(-np.inf), c - lost) for c in (lead, tail))
+        most = np.maximum.accumulate(lead[::-1], axis=0)[::-1]  # of beginnings with so many words or more
+        rest = (2 * (min_words - k) - np.arange(len(tail))).clip(0, len(most) - 1)
+        found[at : at + 500] = (most[rest] + tail >= -(1 - min_identity) * k - 1e-3).any(axis=0)
+    return found
 
 
 def _left(around: DataFrame, k: int, min_words: int, min_identity: float) -> DataFrame:
@@ -702,7 +828,7 @@ def _left(around: DataFrame, k: int, min_words: int, min_identity: float) -> Dat
         if rows:
             yield pairs()
 
-    dealt = placed.repartition("task").sortWithinPartitions("task", "h")
+    dealt = placed.repartition("task").sortWithinPartitions("task", "h", "node", "at", "side")
     return dealt.mapInArrow(releasing(run), "node long, other long, at int, there int")
 
 
@@ -842,8 +968,8 @@ def repeated_passages(
         return out
 
     found = aligned(matches)
-    places = _open(shared, found, k).groupBy("node").agg(F.collect_list(F.struct("h", "at", "label", "n")).alias("places"))
-    places = materialize(places, "open")
+    listed = F.collect_list(F.struct("h", "at", "label", "n")).alias("places")
+    places = settled(lambda: _open(shared, found, k).groupBy("node").agg(listed), "open")
     around = materialize(_around(with_text(places, "node"), k, 2 * min_words), "around")
     discard(places)
     left = materialize(_left(around, k, min_words, min_identity).distinct(), "left")
