@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 
+from tidemark.llm import substring_dedup as sd
 from tidemark.llm.substring_dedup import GAP_COST, _agreeing_around, _alone, _meet, _open, _regions, agreeing, align, chains, may_align, passages, repeated_passages, runs, seeds
 
 
@@ -355,3 +356,44 @@ def test_open_seeds_are_those_with_several_labels(spark):
     got = [tuple(r) for r in _open(shared, laid, 6).select("h", "node", "at", "label", "n").collect()]
     assert len(got) == len(set(got)) and set(got) == want and want
     assert {h for h in first if len({n for g, n, _ in places if g == h}) > 1} - {h for h, *_ in want}  # some are joined to one
+
+
+def test_words_are_hashed_once_and_serve_every_later_step(spark):
+    texts = [" ".join(f"w{(i * j) % 97}é" for i in range(120)) for j in (1, 2, 3)] + ["", None]
+    seeded = sd._seeded(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "doc_id", "text", 6, 16).collect()
+    words = {r.id: bytes(r.words) for r in seeded}
+    for i, text in enumerate(texts):
+        assert words[i] == sd.short_hashes(text).tobytes() and len(words[i]) == 4 * len((text or "").split())
+    rows = [(i, [(9, 10, 40), (9, 60, 90)], i) for i in range(3)]
+    kind = "node long, matches array<struct<other:long,at:int,there:int>>, text"
+    by_text = _regions(spark.createDataFrame([(n, m, texts[i]) for n, m, i in rows], f"{kind} string"), 6, 50)
+    by_words = _regions(spark.createDataFrame([(n, m, bytearray(words[i])) for n, m, i in rows], f"{kind} binary"), 6, 50)
+    assert sorted(by_words.collect()) == sorted(by_text.collect())
+
+
+def test_common_words_are_those_of_a_plain_search():
+    rng = np.random.default_rng(5)
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    for _ in range(300):
+        a, b = (rng.integers(0, 5, rng.integers(0, 12)) for _ in range(2))
+        assert sd._common(a, b) == plain(a.tolist(), b.tolist())
+
+
+def test_passages_join_a_seed_by_any_of_its_places_in_the_other_text(spark):
+    held = "node long, held array<struct<h:long,at:int>>"
+    laid = ", laid array<struct<other:long,start:long,end:long,other_start:long,other_end:long>>"
+    rows = spark.createDataFrame([(7, [(5, 90), (3, 12), (3, 14), (4, 55)], [(1, 10, 60, 100, 150), (2, 50, 60, 0, 10)])], held + laid)
+    covered = sd._covered(rows, 6)
+    assert sorted((r.other, r.h) for r in covered.collect()) == [(1, [3])]
+    for places, want in (([20, 144], [3]), ([20, 145], []), ([99], []), ([100], [3])):
+        other = spark.createDataFrame([(1, [(3, p) for p in places])], held.replace("node", "other"))
+        assert [r.h for r in sd._led(covered.join(other, "other"), 6).collect()] == want

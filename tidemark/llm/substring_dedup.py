@@ -23,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ngram_join import MIX, _Words
+from .ngram_join import MIX
 from .shared import discard, materialize, q, releasing, settled
 
 _WORD = (1 << 64) - 1
@@ -39,9 +40,17 @@ MARGIN = 64
 DROP = 8
 
 
-def word_hashes(text: str | None, words: dict) -> np.ndarray:
+def word_hashes(text: str | None) -> np.ndarray:
+    """One 64-bit hash a word; half the words of a corpus are new to any bounded table, so none is kept."""
     split = (text or "").encode("utf-8", "surrogatepass").split()
-    return np.fromiter(map(words.__getitem__, split), np.uint64, len(split))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, split), np.uint64, len(split))
+
+
+def short_hashes(text: str | bytes | None) -> np.ndarray:
+    """The lower 32 bits of the hashes of a text's words; of bytes, which ``_seeded`` made of a text, just these."""
+    if isinstance(text, bytes):
+        return np.frombuffer(text, np.uint32)
+    return word_hashes(text).astype(np.uint32)
 
 
 def _sliding(x: np.ndarray, size: int, best) -> np.ndarray:
@@ -125,6 +134,8 @@ def chains(matches: list[tuple[int, int]], k: int) -> list[list[tuple[int, int]]
     match's, and one prefix maximum over the other side finds the best.
     """
     order = sorted(set(matches))
+    if all(p < p2 and h < h2 for (p, h), (p2, h2) in zip(order, order[1:], strict=False)):
+        return _rising(order, k)
     ranks = {h: i for i, h in enumerate(sorted({h for _, h in order}))}
     tree, score, back = Fenwick(len(ranks)), [], []
     waiting: list[tuple[int, tuple[float, int]]] = []
@@ -145,6 +156,22 @@ def chains(matches: list[tuple[int, int]], k: int) -> list[list[tuple[int, int]]
         score.append(own)
         back.append(j)
         waiting.append((ranks[h], (own + GAP_COST * (p + h), i)))
+    return _paths(order, score, back)
+
+
+def _rising(order: list[tuple[int, int]], k: int) -> list[list[tuple[int, int]]]:
+    """``chains`` of matches that all rise on both sides: what a match is worth grows along them, so the best is the one before."""
+    score, back, before = [], [], float("-inf")
+    for i, (p, h) in enumerate(order):
+        linked = before - GAP_COST * (p + h) + k
+        own, j = (linked, i - 1) if linked > k else (float(k), -1)
+        score.append(own)
+        back.append(j)
+        before = own + GAP_COST * (p + h)
+    return _paths(order, score, back)
+
+
+def _paths(order: list[tuple[int, int]], score: list[float], back: list[int]) -> list[list[tuple[int, int]]]:
     used, out = [False] * len(order), []
     for i in sorted(range(len(order)), key=lambda i: -score[i]):
         path = []
@@ -170,15 +197,16 @@ def unbroken(chain: list[tuple[int, int]], k: int) -> list[list[tuple[int, int]]
 def _extended(equal: np.ndarray) -> int:
     """How many leading words go on matching, one by one, up to a drop."""
     equal = equal[:MARGIN]
-    if not len(equal):
-        return 0
     if equal.all():
         return len(equal)
-    run = np.cumsum(equal * 3 - 2)
-    low = np.flatnonzero(np.maximum.accumulate(np.maximum(run, 0)) - run >= DROP)
-    stop = int(low[0]) if len(low) else len(run)
-    best = int(run[:stop].argmax()) if stop else 0
-    return best + 1 if stop and run[best] > 0 else 0
+    run = top = words = 0
+    for i, same in enumerate(equal.tolist(), 1):
+        run += 1 if same else -2
+        if run > top:
+            top, words = run, i
+        elif top - run >= DROP:
+            break
+    return words
 
 
 def _equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -190,10 +218,23 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     """Longest common subsequence of two short gaps."""
     if len(a) == len(b) and (a == b).all():
         return len(a)
+    # words that agree at either end are in a longest one
+    left, right, same = a.tolist(), b.tolist(), 0
+    while left and right and left[-1] == right[-1]:
+        left.pop()
+        right.pop()
+        same += 1
+    lead, most = 0, min(len(left), len(right))
+    while lead < most and left[lead] == right[lead]:
+        lead += 1
+    same += lead
+    if set(left[lead:]).isdisjoint(right[lead:]):
+        return same
+    a, b = a[lead : len(left)], b[lead : len(right)]
     row = np.zeros(len(b) + 1, np.int64)
     for x in a:
         row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))
-    return int(row[-1])
+    return same + int(row[-1])
 
 
 def align(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int]], k: int) -> tuple[int, int, int, int, int]:
@@ -311,21 +352,22 @@ SEEN = 400_000
 
 
 def _seeded(df: DataFrame, id_col: str, text_col: str, k: int, window: int) -> DataFrame:
-    """id, node (hash of the text), check (another one), n words, seeds.
+    """id, node (hash of the text), check (another one), n words, words (``short_hashes``, for later steps to read), seeds.
 
     Of equal texts in a task only the first gives seeds, so a group of copies
     has no more than the number of tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = _Words(), set()
+        seen = set()
         for batch in batches:
             for begin in range(0, len(batch), 1000):
                 part = batch.slice(begin, 1000)
-                n, new = [], []
+                n, new, short = [], [], []
                 for node, text in zip(part.column(1).to_pylist(), part.column(3), strict=True):
-                    h = word_hashes(text.as_py(), words)
+                    h = word_hashes(text.as_py())
                     n.append(len(h))
+                    short.append(h.astype(np.uint32).tobytes())
                     new.append(h[:0] if node in seen else h)
                     if len(seen) >= SEEN:
                         seen.clear()
@@ -334,14 +376,19 @@ def _seeded(df: DataFrame, id_col: str, text_col: str, k: int, window: int) -> D
                 sizes = pa.array(np.cumsum([0, *counts]).astype(np.int32))
                 pairs = pa.StructArray.from_arrays([pa.array(hashes), pa.array(at)], ["h", "at"])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), pa.array(n, pa.int32()), pa.ListArray.from_arrays(sizes, pairs)],
-                    ["id", "node", "check", "n", "seeds"],
+                    [
+                        *[part.column(i) for i in range(3)],
+                        pa.array(n, pa.int32()),
+                        pa.array(short, pa.binary()),
+                        pa.ListArray.from_arrays(sizes, pairs),
+                    ],
+                    ["id", "node", "check", "n", "words", "seeds"],
                 )
 
     kind = df.schema[id_col].dataType.simpleString()
     text = q(text_col)
     return df.select(q(id_col), F.xxhash64(text).alias("node"), F.xxhash64(F.lit(1), text).alias("check"), text).mapInArrow(
-        releasing(run), f"id {kind}, node long, check long, n int, seeds array<struct<h:long,at:int>>"
+        releasing(run), f"id {kind}, node long, check long, n int, words binary, seeds array<struct<h:long,at:int>>"
     )
 
 
@@ -355,7 +402,18 @@ def runs(found: list[tuple[int, int, int, int]], k: int, window: int, least: int
     runs that overlap, as in a text of one word, the first counts.
     """
     out, last = [], {}
+    # from each seed on: the next that is too far from the one before it, the next whose holder or order differs, the first of ``least`` words
+    n = len(found)
+    apart, differs, far = [n] * (n + 1), [n] * (n + 1), 0
+    for i in range(n - 2, -1, -1):
+        (at, _, other, there), (at2, _, other2, there2) = found[i], found[i + 1]
+        apart[i] = i + 1 if at2 - at > window else apart[i + 1]
+        differs[i] = i + 1 if other2 != other or not 0 < there2 - there <= window else differs[i + 1]
     for i, (at, h, other, there) in enumerate(found):
+        while far < n and found[far][0] + k - at < least:
+            far += 1
+        if differs[i] >= min(apart[i], max(far, i + 1) + 1):
+            continue
         key, before, same, size = h * MIX[1] & _WORD, at, True, 1
         for j in range(i + 1, len(found)):
             here, h2, other2, there2 = found[j]
@@ -430,14 +488,14 @@ def _regions(rows: DataFrame, k: int, min_words: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([*arrays, _column(sizes, pa.int32()), *pairs, _column(columns[4], pa.int32())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, out, held_words = _Words(), [], 0
+        out, held_words = [], 0
         for batch in batches:
             offsets, *held = _lists(batch.column(1), "other", "at", "there")
             for i, node in enumerate(batch.column(0).to_pylist()):
                 by: dict[int, list[tuple[int, int]]] = {}
                 for other, at, there in zip(*[c[offsets[i] : offsets[i + 1]].tolist() for c in held], strict=True):
                     by.setdefault(other, []).append((at, there))
-                h = word_hashes(batch.column(2)[i].as_py(), words).astype(np.uint32).view(np.int32)
+                h = short_hashes(batch.column(2)[i].as_py()).view(np.int32)
                 for other, found in by.items():
                     kept = []
                     for whole in chains(found, k) if len(found) > 1 else [found]:
@@ -471,8 +529,6 @@ def overlapping(found: list[list[tuple[int, int]]], k: int) -> list[list[list[tu
 
 #: Places of a seed that are held against each other in one task; more are cut into blocks that meet two by two.
 BLOCK = 16384
-#: Words of a stretch of a text, by which places and passages are joined.
-STRETCH = 64
 AROUND = "h long, node long, at int, label long, n long, words binary, near array<long>, off array<int>"
 
 
@@ -501,31 +557,84 @@ def _apart(rows: DataFrame, k: int) -> DataFrame:
     return rows.select("node", "held", "laid").mapInArrow(releasing(run), "h long")
 
 
+def _covered(rows: DataFrame, k: int) -> DataFrame:
+    """Passages of (node, held, laid) to other nodes with the seeds of ``held`` that they cover, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column(0).to_numpy()
+            offsets, h, at = _lists(batch.column(1), "h", "at")
+            cuts, *sides = _lists(batch.column(2), "other", "start", "end", "other_start", "other_end")
+            picked, seeds_of, size = [], [], 0
+
+            def made() -> pa.RecordBatch:
+                some = np.array(picked, np.int64)
+                of = nodes[np.searchsorted(cuts, some, "right") - 1]
+                columns = [pa.array(of), *(pa.array(sides[i][some]) for i in (0, 3, 4)), _column(seeds_of, pa.int64())]
+                return pa.RecordBatch.from_arrays(columns, ["node", "other", "other_start", "other_end", "h"])
+
+            for lo, hi, begin, stop in zip(offsets, offsets[1:], cuts, cuts[1:], strict=False):
+                order = np.argsort(at[lo:hi], kind="stable")
+                places, hashes = at[lo:hi][order], h[lo:hi][order]
+                first = np.searchsorted(places, sides[1][begin:stop], "left").tolist()
+                last = np.searchsorted(places, sides[2][begin:stop] - k, "right").tolist()
+                for i, a, b in zip(range(begin, stop), first, last, strict=True):
+                    if a < b:
+                        picked.append(i)
+                        seeds_of.append(np.unique(hashes[a:b]))
+                        size += len(seeds_of[-1])
+                        if size >= 500_000:
+                            yield made()
+                            picked, seeds_of, size = [], [], 0
+            if picked:
+                yield made()
+
+    kinds = "node long, other long, other_start long, other_end long, h array<long>"
+    return rows.select("node", "held", "laid").mapInArrow(releasing(run), kinds)
+
+
+def _led(rows: DataFrame, k: int) -> DataFrame:
+    """(h, node, other) of the seeds of covered passages (``_covered``) that ``held``, in order, of the other node has inside, too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, others, starts, ends = (batch.column(i).to_numpy() for i in range(4))
+            cuts, own = _lists(batch.column(4))
+            offsets, h, at = _lists(batch.column(5), "h", "at")
+            found = []
+            for i, (begin, stop, lo, hi) in enumerate(zip(cuts, cuts[1:], offsets, offsets[1:], strict=False)):
+                seeds, hashes, places = own[begin:stop], h[lo:hi], at[lo:hi]
+                first, last = np.searchsorted(hashes, seeds, "left"), np.searchsorted(hashes, seeds, "right")
+                inside = first < last
+                inside[inside] = (places[first[inside]] >= starts[i]) & (places[first[inside]] + k <= ends[i])
+                for j in np.flatnonzero(~inside & (last - first > 1)).tolist():  # several places of one seed
+                    of = places[first[j] : last[j]]
+                    n = int(np.searchsorted(of, starts[i], "left"))
+                    inside[j] = n < len(of) and of[n] + k <= ends[i]
+                found.append(seeds[inside])
+            sizes = [len(x) for x in found]
+            columns = [np.concatenate([np.zeros(0, np.int64), *found]), np.repeat(nodes, sizes), np.repeat(others, sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "node", "other"])
+
+    picked = rows.select("node", "other", "other_start", "other_end", "h", "held")
+    return picked.mapInArrow(releasing(run), "h long, node long, other long")
+
+
 def _open(shared: DataFrame, found: DataFrame, k: int) -> DataFrame:
     """(h, node, at, label, n) of the seeds whose holders do not all have one label; n places in all.
 
     A holder's label is the least other one to which a passage over the seed in both joins it, or its own node.  No
     holder is less than the first one, so a seed has one label if all are joined to that: most go by this, which takes
-    the passages of a text to its own seeds; only places of the others are joined to passages one by one.
+    the passages of a text to its own seeds; only for seeds of the others are these held against those of the other texts.
     """
     side = ["other", "start", "end", "other_start", "other_end"]
     laid = found.groupBy("node").agg(F.collect_list(F.struct(*side)).alias("laid"))
     empty = F.array().cast(laid.schema["laid"].dataType)
     apart = _apart(shared.join(laid, "node", "left").withColumn("laid", F.coalesce("laid", empty)), k).distinct()
     places = materialize(shared.select("node", F.inline("held")).select("h", "node", "at").join(apart, "h", "left_semi"), "places")
-    # a place meets only passages over its own stretch of the text
-    near = F.explode(F.sequence(F.floor(F.col("start") / STRETCH), F.floor((F.col("end") - k) / STRETCH))).alias("stretch")
-    laid = found.select("node", *side, near)
-    over = places.withColumn("stretch", F.floor(F.col("at") / STRETCH)).join(laid, ["node", "stretch"]).where(
-        (F.col("start") <= F.col("at")) & (F.col("at") + k <= F.col("end"))
-    )
-    there = places.select("h", F.col("node").alias("other"), F.col("at").alias("there"))
-    led = (
-        over.join(there, ["h", "other"])
-        .where((F.col("other_start") <= F.col("there")) & (F.col("there") + k <= F.col("other_end")))
-        .groupBy("h", "node")
-        .agg(F.min("other").alias("first"))
-    )
+    listed = places.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("h", "at"))).alias("held"))
+    covered = _covered(listed.join(laid, "node"), k)
+    led = _led(covered.join(listed.withColumnRenamed("node", "other"), "other"), k).groupBy("h", "node").agg(F.min("other").alias("first"))
     labelled = places.join(led, ["h", "node"], "left").select("h", "node", "at", F.least("node", "first").alias("label"))
     several = labelled.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("one"), F.max("label").alias("two"))
     return labelled.join(several.where("one <> two").select("h", "n"), "h")
@@ -541,7 +650,7 @@ def _around(rows: DataFrame, k: int, wide: int) -> DataFrame:
     names = ["h", "node", "at", "label", "n", "words", "near", "off"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, out = _Words(), []
+        out = []
         for batch in batches:
             offsets, *held = _lists(batch.column(1), "h", "at", "label", "n")
             for i, node in enumerate(batch.column(0).to_pylist()):
@@ -553,8 +662,7 @@ def _around(rows: DataFrame, k: int, wide: int) -> DataFrame:
                     if not (before and after and before[0] == x[0] == after[0] and x[1] - before[1] < k and after[1] - x[1] < k)
                 ]
                 found.sort(key=lambda x: x[1])
-                hashes = word_hashes(batch.column(2)[i].as_py(), words).astype(np.uint32)
-                hashes[hashes == 0] = 1
+                hashes = np.maximum(short_hashes(batch.column(2)[i].as_py()), np.uint32(1))
                 padded = np.concatenate([np.zeros(wide, np.uint32), hashes, np.zeros(wide, np.uint32)])
                 ats, met = [x[1] for x in found], set()
                 for h, at, label, n in found:
@@ -834,14 +942,11 @@ def _left(around: DataFrame, k: int, min_words: int, min_identity: float) -> Dat
 
 def _agreeing_around(a: np.ndarray, b: np.ndarray, p: np.ndarray, h: np.ndarray, k: int) -> np.ndarray:
     """For each match (p in a, h in b) how many words agree on its diagonal, up to ``MARGIN`` beyond it."""
-    wide = k + 2 * MARGIN
-    own, other = (np.pad(x.astype(np.int64), wide, constant_values=1 << n) for x, n in ((a, 40), (b, 41)))  # no hash of 32 bits
-    span = np.arange(-MARGIN, k + MARGIN) + wide
-    found = [np.zeros(0, np.int64)]
-    for i in range(0, len(p), 2000):
-        rows = slice(i, i + 2000)
-        found.append(np.count_nonzero(own[p[rows, None] + span] == other[h[rows, None] + span], axis=1))
-    return np.concatenate(found)
+    found = []
+    for x, y in zip(p.tolist(), h.tolist(), strict=True):
+        lead, tail = min(MARGIN, x, y), k + MARGIN
+        found.append(np.count_nonzero(_equal(a[x - lead : x + tail], b[y - lead : y + tail])))
+    return np.array(found, np.int64)
 
 
 def _held_against(
@@ -877,7 +982,7 @@ def _aligned(rows: DataFrame, k: int, min_words: int, min_identity: float) -> Da
     least = min_identity * min_words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, hashes = _Words(), None, None
+        held, hashes = None, None
         for batch in batches:
             out = []
             nodes, others, starts = (batch.column(i).to_pylist() for i in range(3))
@@ -888,7 +993,7 @@ def _aligned(rows: DataFrame, k: int, min_words: int, min_identity: float) -> Da
             for i in range(len(batch)):
                 if others[i] != held:  # rows against one text stand together
                     held = others[i]
-                    hashes = word_hashes(batch.column(7)[i].as_py(), words).astype(np.uint32).view(np.int32)
+                    hashes = short_hashes(batch.column(7)[i].as_py()).view(np.int32)
                 around = all_words[cut[i] : cut[i + 1]]
                 ends = at[i] + np.cumsum(sizes[chain[i] : chain[i + 1]])
                 begins = ends - sizes[chain[i] : chain[i + 1]]
@@ -946,15 +1051,14 @@ def repeated_passages(
     shared = materialize(
         _met(flat).groupBy("node").agg(F.collect_set(F.struct("h", "at", "other", "there")).alias("held")), "shared"
     )
-    docs = materialize(seeded.drop("seeds"), "texts")
-    discard(seeded)
+    docs = seeded.drop("seeds")
     nodes = docs.groupBy("node").agg(F.min("id").alias("least_id"))
     columns = ["node", "other", "at", "there"]
     met = shared.select("node", F.inline("held")).select(*columns)
     met = met.unionByName(_met(materialize(_run_keys(shared, k, window, min_words), "runs")).select(*columns))
     matches = matched(met)
-    # texts are looked up by fingerprint and id of the row that stands for them
-    texts = df.select(F.xxhash64(q(text_col)).alias("fp"), q(id_col).alias("of"), q(text_col).alias("text"))
+    # texts, as the hashes of their words, are looked up by fingerprint and id of the row that stands for them
+    texts = docs.select(F.col("node").alias("fp"), F.col("id").alias("of"), F.col("words").alias("text"))
     names = nodes.select("node", "least_id")
 
     def with_text(rows: DataFrame, key: str) -> DataFrame:
