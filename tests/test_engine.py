@@ -137,6 +137,29 @@ def test_folds_and_windows(spark):
             va.expanding_folds(df, bad, 0.1)
 
 
+def test_holdout_tells_rows_by_the_last_of_the_first_part(spark):
+    rows = [(None if i % 9 == 0 else str(i % 40), (i * 37) % 50 * MINUTE, float(i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "id string, us long, value double").repartition(5)
+    plain = sorted((r[1], r[0] is not None, r[0] or "") for r in rows)
+    for ratio in (0.0, 0.01, 0.2, 0.37, 0.5, 0.75, 0.999):
+        for chunk in (MINUTE, 7 * MINUTE, 1000 * MINUTE):
+            train, held = va.holdout(df, ratio, chunk)
+            got, rest = ([(r.us, r.id is not None, r.id or "", r.value) for r in part.collect()] for part in (train, held))
+            n = math.floor(100 * (1 - ratio))
+            assert sorted(g[:3] for g in got) == plain[:n] and sorted(g[:3] for g in rest) == plain[n:]
+            assert sorted(g[3] for g in got + rest) == [float(i) for i in range(100)]
+    assert [part.count() for part in va.holdout(df.limit(0), 0.2)] == [0, 0]
+    same = spark.createDataFrame([("a", 5, float(i)) for i in range(10)], "id string, us long, value double")
+    first, rest = va.holdout(same, 0.3)
+    assert first.count() == 7 and rest.count() == 3 and first.union(rest).distinct().count() == 10
+
+
+def test_parts_of_a_holdout_are_not_shuffled(spark):
+    df = moves(spark, [(i % 7, i % 5) for i in range(50)])
+    for part in va.holdout(df, 0.2):
+        assert "Exchange" not in part._jdf.queryExecution().executedPlan().toString()
+
+
 def test_engine_round_trip(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "points"))
     engine.add_points(points(spark, [(i, 40 + 30 * math.sin(0.1 * i), 100 + i % 11, 10 + i % 3, {"d": 1.0}) for i in range(120)]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import numbered, pearson
@@ -213,7 +213,31 @@ def walk_forward_summary(windows: DataFrame) -> DataFrame:
 
 
 def holdout(moves: DataFrame, ratio: float, chunk: int = DAY) -> tuple[DataFrame, DataFrame]:
-    """The first 1 - ratio of the rows by time, and the rest."""
-    placed = numbered(moves, "us", ["id"], chunk)
-    cut = F.floor(F.col("n") * F.lit(1 - ratio))
-    return placed.where(F.col("rn") <= cut).drop("rn", "n"), placed.where(F.col("rn") > cut).drop("rn", "n")
+    """The first 1 - ratio of the rows by time and id, and the rest.
+
+    The last row of the first part is looked up, by the counts of chunks of time and then in its chunk alone; either part
+    is told by comparison with it, so its rows are not shuffled, however often it is read.  Rows that share that row's
+    time and id are numbered by what they hold.
+    """
+    us, id_ = F.col("us"), F.col("id")
+    slot = F.floor(us / F.lit(chunk))
+    upto = lambda *by: F.sum("count").over(Window.orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
+    counts = moves.groupBy(slot.alias("chunk")).count().withColumn("upto", upto("chunk"))  # one row per chunk
+    cut = F.floor(F.sum("count").over(Window.partitionBy(F.lit(0))) * F.lit(1 - ratio))
+    at = counts.withColumn("cut", cut).where("upto >= cut").orderBy("chunk").first()
+    if at is None or at.cut == 0 or at.chunk is None:  # rows without a time come first and are in neither part
+        return moves.where(F.lit(False)), moves.where("us is not null")
+    inside = moves.where(slot == F.lit(at.chunk)).groupBy("us", "id").count().withColumn("upto", upto("us", "id"))
+    place = at.cut - (at.upto - at["count"])
+    edge = inside.where(F.col("upto") >= F.lit(place)).orderBy("us", "id").first()
+    last = F.lit(edge.id)
+    same, lower = id_.eqNullSafe(last), F.lit(False) if edge.id is None else id_.isNull() | (id_ < last)
+    here = (us == F.lit(edge.us)) & same
+    before = (us < F.lit(edge.us)) | ((us == F.lit(edge.us)) & lower)
+    after = (us > F.lit(edge.us)) | ((us == F.lit(edge.us)) & ~lower & ~same)
+    if edge.upto == place:
+        return moves.where(before | here), moves.where(after)
+    take = F.lit(place - (edge.upto - edge["count"]))
+    tied = moves.where(here).withColumn("_place", F.row_number().over(Window.orderBy(F.to_json(F.struct(*moves.columns)))))
+    first, rest = tied.where(F.col("_place") <= take).drop("_place"), tied.where(F.col("_place") > take).drop("_place")
+    return moves.where(before).unionByName(first), moves.where(after).unionByName(rest)
