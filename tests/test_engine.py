@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.api import Engine
 from tidemark.functions.stats import order_statistics, positional
@@ -160,6 +161,15 @@ def test_parts_of_a_holdout_are_not_shuffled(spark):
         assert "Exchange" not in part._jdf.queryExecution().executedPlan().toString()
 
 
+def test_rows_of_a_model_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(ml, "TASK_ROWS", 20)
+    df = moves(spark, [(i % 3 * 100 + i % 2, i % 3) for i in range(150)]).coalesce(1)
+    sizes = [r["count"] for r in ml.spread(df).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 150 and max(sizes) <= 20
+    got = sorted((r.center, r.avg_move, r.n) for r in ml.clusters(df, 3).collect())
+    assert got == [(0.5, 0, 50), (100.5, 1, 50), (200.5, 2, 50)]
+
+
 def test_engine_round_trip(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "points"))
     engine.add_points(points(spark, [(i, 40 + 30 * math.sin(0.1 * i), 100 + i % 11, 10 + i % 3, {"d": 1.0}) for i in range(120)]))

@@ -22,12 +22,24 @@ from .validation import holdout
 EMPTY = "low double, high double, confidence double, expected double, n long, hit double"
 
 
+#: Rows that a task reads in a step of a model over rows; a model keeps a row in some 100 bytes.
+TASK_ROWS = 1_000_000
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """More than ``TASK_ROWS`` rows are dealt evenly, so that tasks get more and not larger as rows do."""
+    n = rows.count()
+    if n <= TASK_ROWS:
+        return rows
+    return rows.repartition(max(-(-n // TASK_ROWS), rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def clusters(moves: DataFrame, k: int = 3, seed: int = 7) -> DataFrame:
     """k-means on (value, move): centre, mean move, members, variance of the value and the range of 1.5 deviations around it."""
     if not 0 < k <= 50:
         raise DataValidationError("k must be within 1 and 50")
-    points = VectorAssembler(inputCols=["value", "move"], outputCol="features").transform(moves.select("value", "move"))
-    model = KMeans(k=k, seed=seed, maxIter=40, initSteps=4).fit(points)
+    points = VectorAssembler(inputCols=["value", "move"], outputCol="features").transform(spread(moves.select("value", "move")))
+    model = KMeans(k=k, seed=seed, maxIter=40, initSteps=4, solver="block").fit(points)
     return _cluster_rows(model.transform(points).withColumnRenamed("prediction", "cluster"))
 
 
