@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tidemark.llm import substring_dedup as sd
 from tidemark.llm.substring_dedup import GAP_COST, _agreeing_around, _alone, _meet, _open, _regions, agreeing, align, chains, may_align, passages, repeated_passages, runs, seeds
@@ -397,3 +398,86 @@ def test_passages_join_a_seed_by_any_of_its_places_in_the_other_text(spark):
     for places, want in (([20, 144], [3]), ([20, 145], []), ([99], []), ([100], [3])):
         other = spark.createDataFrame([(1, [(3, p) for p in places])], held.replace("node", "other"))
         assert [r.h for r in sd._led(covered.join(other, "other"), 6).collect()] == want
+
+
+def test_a_pair_of_texts_stays_one_row_with_the_seeds_of_both(spark):
+    rng = random.Random(15)
+    held = {node: [(rng.randrange(12), at, 0, 0) for at in range(0, 10 * rng.randrange(1, 9), 10)] for node in range(20)}
+    shared = spark.createDataFrame(list(held.items()), "node long, held array<struct<h:long,at:int,other:long,there:int>>")
+    pairs = [(a, b) for a in range(20) for b in range(a) if rng.random() < 0.4]
+    got = sd._seeds_of(spark.createDataFrame(pairs, "node long, other long"), shared)
+    first = {node: {h: at for h, at, *_ in reversed(seeds_of)} for node, seeds_of in held.items()}
+    want = [(a, b, at, first[b][h]) for a, b in pairs for h, at, *_ in held[a] if h in first[b]]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chains_that_keep_to_a_diagonal_are_aligned_as_one_by_one(spark):
+    rng = np.random.default_rng(16)
+    rows, want = [], set()
+    for node in range(60):
+        b = rng.integers(0, 2**31, 260).astype(np.int32)
+        shift = int(rng.integers(-40, 40))
+        a = np.concatenate((rng.integers(0, 2**31, 40 + shift), b, rng.integers(0, 2**31, int(rng.integers(0, 50))))).astype(np.int32)
+        lost = rng.random(len(a)) < 0.3 * rng.random()
+        a[lost] = rng.integers(0, 2**31, int(lost.sum()))
+        a = np.delete(a, rng.integers(0, len(a), int(rng.integers(0, 3))))
+        start = int(rng.integers(0, 20))
+        n = min(len(a), 180)
+        every = [(p, h) for p in range(start, start + n - 6, 5) for h in range(255) if (a[p : p + 6] == b[h : h + 6]).all()]
+        held = [c for c in sd.chains(every, 6)] + [[m] for m in every[::7]]
+        for chain in held:
+            lo, there = max(start, chain[0][0] - 64), max(0, chain[0][1] - 64)
+            x, y = a[lo : min(start + n, chain[-1][0] + 70)], b[there : chain[-1][1] + 70]
+            for s, e, so, eo, same in passages(x, y, [(p - lo, h - there) for p, h in chain], 6, 50, 0.8):
+                want.add((node, 1000 + node, s + lo, e + lo, so + there, eo + there, same, same / max(e - s, eo - so)))
+        if held:
+            p, h = ([int(m[i]) for c in held for m in c] for i in (0, 1))
+            rows.append((node, 1000 + node, start, [len(c) for c in held], p, h, a[start : start + n].tolist(), bytearray(b.tobytes())))
+    got = sd._aligned(spark.createDataFrame(rows, sd.REGION + ", text binary"), 6, 50, 0.8).collect()
+    assert {tuple(r) for r in got} == want and len(want) > 50
+
+
+def test_runs_of_many_texts_are_those_of_each():
+    rng = random.Random(17)
+    texts = []
+    for _ in range(40):
+        at, found = 0, []
+        for _ in range(rng.randrange(30)):
+            at += rng.randrange(1, 22)
+            found.append((at, rng.choice([5, rng.randrange(-9, 9)]), rng.randrange(2), rng.choice([at + 3, rng.randrange(200)])))
+        texts.append(found)
+    node = np.repeat(np.arange(40), [len(t) for t in texts])
+    at, h, other, there = np.array([x for t in texts for x in t], np.int64).T.copy()
+    begins, keys = sd._runs(node, at, h, other, there, 6, 16, 50)
+    got = list(zip(node[begins].tolist(), keys.tolist(), at[begins].tolist(), strict=True))
+    assert got == [(i, *x) for i, t in enumerate(texts) for x in runs(t, 6, 16, 50)] and got
+
+
+def test_the_place_in_the_first_holder_is_its_first(spark):
+    keys = [(node, h, at, at == min(a for n, g, a in places if (n, g) == (node, h))) for places in [[(n, g, a) for n in (3, 1, 2) for g in (7, 8 + n) for a in (50, 20, 90)]] for node, h, at in places]
+    got = sd._met(spark.createDataFrame(keys, "node long, h long, at int, first boolean")).collect()
+    assert sorted((r.node, r.h, r.at, r.other, r.there) for r in got) == sorted((n, 7, a, 1, 20) for n in (1, 2, 3) for a in (20, 50, 90))
+
+
+def test_words_of_many_texts_are_hashed_as_those_of_each():
+    rng = random.Random(18)
+    texts = ["".join(rng.choice("ab é漢\t\n\x0b\x1c\xa0 ") for _ in range(rng.choice([0, 1, 9, 200]))) for _ in range(200)]
+    texts += ["x" * n + " y" for n in (7, 8, 9, 16, 63, 64, 65, 200)] + [None, "a"]
+    h, counts = sd._words(pa.array(texts, pa.string()).slice(1))
+    split = [(t or "").encode().split() for t in texts[1:]]
+    assert counts.tolist() == [len(x) for x in split]
+    named = dict(zip([w for x in split for w in x], h.tolist(), strict=True))
+    assert [named[w] for x in split for w in x] == h.tolist() and len(set(named.values())) == len(named)
+    assert h.tolist() == [x for t in texts[1:] for x in sd.word_hashes(t).tolist()]
+    assert len({x & 0xFFFFFFFF for x in named.values()}) == len(named)
+
+
+def test_what_few_rows_reach_is_what_many_reach(monkeypatch):
+    rng = np.random.default_rng(19)
+    x, y = (rng.integers(0, 9, (20, 100)).astype(np.uint32) for _ in range(2))
+    x[10:], y[10:] = rng.integers(1, 90, (10, 100)), rng.integers(1, 90, (10, 100))
+    y[15:, 5:] = x[15:, :-5]
+    few = [sd._reach(x[i : i + 1], y[i : i + 1]) for i in range(20)]
+    monkeypatch.setattr(sd, "FEW", 0)
+    assert (np.concatenate(few, axis=1) == sd._reach(x, y)).all()

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +41,47 @@ MARGIN = 64
 DROP = 8
 
 
+#: Bytes that part words.
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: What is left of eight bytes if a word has only the first so many of them.
+_LEFT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Longer words, in bytes, are hashed one by one.
+LONG_WORD = 64
+
+
+def hashed_words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One 64-bit hash for each word of texts, and how many each has; data: their bytes, ends: where each begins and ends.
+
+    All words are read eight bytes at a time; words of up to eight bytes of one length never have the same hash.
+    """
+    size = len(data)
+    word = ~_BLANK[data]
+    bounds = np.zeros(size + 1, bool)
+    bounds[ends] = True
+    before, after = np.ones(size + 1, bool), np.ones(size + 1, bool)
+    before[1:], after[:-1] = ~word, ~word
+    begin = np.flatnonzero(word & (before | bounds)[:-1])
+    wide = np.flatnonzero(word & (after | bounds)[1:]) + 1 - begin
+    eights = np.ndarray((size + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    out = wide.astype(np.uint64) * np.uint64(MIX[1])
+    some = np.arange(len(out))
+    for at in range(0, LONG_WORD, 8):
+        some = some[wide[some] > at]
+        if not len(some):
+            break
+        h = (out[some] ^ (eights[begin[some] + at] & _LEFT[np.minimum(wide[some] - at, 8)])) * np.uint64(MIX[0])
+        out[some] = h ^ (h >> np.uint64(32))
+    out = (out ^ (out >> np.uint64(29))) * np.uint64(MIX[1])
+    out ^= out >> np.uint64(32)
+    for i in np.flatnonzero(wide > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[begin[i] : begin[i] + wide[i]].tobytes())
+    return out, np.diff(np.searchsorted(begin, ends))
+
+
 def word_hashes(text: str | None) -> np.ndarray:
-    """One 64-bit hash a word; half the words of a corpus are new to any bounded table, so none is kept."""
-    split = (text or "").encode("utf-8", "surrogatepass").split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, split), np.uint64, len(split))
+    """``hashed_words`` of one text."""
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    return hashed_words(data, np.array([0, len(data)]))[0]
 
 
 def short_hashes(text: str | bytes | None) -> np.ndarray:
@@ -214,27 +252,31 @@ def _equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a[:n] == b[:n]
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> int:
+def _common(a: np.ndarray | list[int], b: np.ndarray | list[int]) -> int:
     """Longest common subsequence of two short gaps."""
-    if len(a) == len(b) and (a == b).all():
-        return len(a)
+    left, right = (x if isinstance(x, list) else x.tolist() for x in (a, b))
+    if left == right:
+        return len(left)
     # words that agree at either end are in a longest one
-    left, right, same = a.tolist(), b.tolist(), 0
-    while left and right and left[-1] == right[-1]:
-        left.pop()
-        right.pop()
-        same += 1
-    lead, most = 0, min(len(left), len(right))
+    m, n, same = len(left), len(right), 0
+    while m and n and left[m - 1] == right[n - 1]:
+        m, n, same = m - 1, n - 1, same + 1
+    lead, most = 0, min(m, n)
     while lead < most and left[lead] == right[lead]:
         lead += 1
     same += lead
-    if set(left[lead:]).isdisjoint(right[lead:]):
+    if lead == most:
         return same
-    a, b = a[lead : len(left)], b[lead : len(right)]
-    row = np.zeros(len(b) + 1, np.int64)
-    for x in a:
-        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))
-    return same + int(row[-1])
+    # a bit for each word of the right side, 0 where the row of the table rises
+    at: dict[int, int] = {}
+    for j, y in enumerate(right[lead:n]):
+        at[y] = at.get(y, 0) | 1 << j
+    every = (1 << n - lead) - 1
+    row = every
+    for x in left[lead:m]:
+        if up := row & at.get(x, 0):
+            row = row + up | row - up
+    return same + (n - lead) - (row & every).bit_count()
 
 
 def align(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int]], k: int) -> tuple[int, int, int, int, int]:
@@ -243,6 +285,7 @@ def align(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int]], k: int) ->
     lead = _extended(_equal(a[:p][::-1], b[:h][::-1]))
     same += int((a[p - lead : p] == b[h - lead : h]).sum())
     start_a, start_b, at_a, at_b = p - lead, h - lead, p, h
+    of_a, of_b = a.tolist(), b.tolist()
     for p, h in chain:
         if p < at_a or h < at_b:  # overlaps what is aligned: go on on its diagonal
             skip = max(at_a - p, at_b - h)
@@ -252,7 +295,9 @@ def align(a: np.ndarray, b: np.ndarray, chain: list[tuple[int, int]], k: int) ->
             end = k - skip
         else:
             end = k
-        same += _common(a[at_a:p], b[at_b:h]) + int((a[p : p + end] == b[h : h + end]).sum())
+        same += _common(of_a[at_a:p], of_b[at_b:h])
+        left, right = of_a[p : p + end], of_b[h : h + end]
+        same += end if left == right else sum(map(eq, left, right))
         at_a, at_b = p + end, h + end
     tail = _extended(_equal(a[at_a:], b[at_b:]))
     same += int((a[at_a : at_a + tail] == b[at_b : at_b + tail]).sum())
@@ -351,9 +396,36 @@ def _column(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
 SEEN = 400_000
 
 
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``hashed_words`` of a column of strings, some texts at a time."""
+    texts = texts.cast(pa.string())
+    texts = texts.fill_null("") if texts.null_count else texts
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    words, counts, i = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(ends, ends[i] + 1_000_000, "right")) - 1)
+        h, n = hashed_words(data[ends[i] : ends[j]], ends[i : j + 1] - ends[i])
+        words.append(h)
+        counts.append(n)
+        i = j
+    return np.concatenate(words), np.concatenate(counts)
+
+
+def _binary(words: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Words of 32 bits as one binary value for each text."""
+    ends = np.cumsum([0, *(4 * counts)])
+    if ends[-1] < 1 << 31:
+        return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(words)])
+    return pa.array([words[begin // 4 : end // 4].tobytes() for begin, end in zip(ends, ends[1:], strict=False)], pa.binary())
+
+
 def _seeded(df: DataFrame, id_col: str, text_col: str, k: int, window: int) -> DataFrame:
     """id, node (hash of the text), check (another one), n words, words (``short_hashes``, for later steps to read), seeds.
 
+    ``first`` tells which place of a seed is its first in the text.
+
     Of equal texts in a task only the first gives seeds, so a group of copies
     has no more than the number of tasks.
     """
@@ -363,23 +435,22 @@ def _seeded(df: DataFrame, id_col: str, text_col: str, k: int, window: int) -> D
         for batch in batches:
             for begin in range(0, len(batch), 1000):
                 part = batch.slice(begin, 1000)
-                n, new, short = [], [], []
-                for node, text in zip(part.column(1).to_pylist(), part.column(3), strict=True):
-                    h = word_hashes(text.as_py())
-                    n.append(len(h))
-                    short.append(h.astype(np.uint32).tobytes())
-                    new.append(h[:0] if node in seen else h)
+                words, n = _words(part.column(3))
+                short, starts, new = words.astype(np.uint32), np.cumsum(n) - n, []
+                for node, begin_at, many in zip(part.column(1).to_pylist(), starts.tolist(), n.tolist(), strict=True):
+                    new.append(words[begin_at : begin_at + (0 if node in seen else many)])
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(node)
                 hashes, at, counts = seeds(new, k, window)
                 sizes = pa.array(np.cumsum([0, *counts]).astype(np.int32))
-                pairs = pa.StructArray.from_arrays([pa.array(hashes), pa.array(at)], ["h", "at"])
+                first = _first(np.repeat(np.arange(len(new)), counts), hashes)
+                pairs = pa.StructArray.from_arrays([pa.array(hashes), pa.array(at), pa.array(first)], ["h", "at", "first"])
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[part.column(i) for i in range(3)],
                         pa.array(n, pa.int32()),
-                        pa.array(short, pa.binary()),
+                        _binary(short, n),
                         pa.ListArray.from_arrays(sizes, pairs),
                     ],
                     ["id", "node", "check", "n", "words", "seeds"],
@@ -388,10 +459,53 @@ def _seeded(df: DataFrame, id_col: str, text_col: str, k: int, window: int) -> D
     kind = df.schema[id_col].dataType.simpleString()
     text = q(text_col)
     return df.select(q(id_col), F.xxhash64(text).alias("node"), F.xxhash64(F.lit(1), text).alias("check"), text).mapInArrow(
-        releasing(run), f"id {kind}, node long, check long, n int, words binary, seeds array<struct<h:long,at:int>>"
+        releasing(run), f"id {kind}, node long, check long, n int, words binary, seeds array<struct<h:long,at:int,first:boolean>>"
     )
 
 
+def _runs(
+    node: np.ndarray, at: np.ndarray, h: np.ndarray, other: np.ndarray, there: np.ndarray, k: int, window: int, least: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """``runs`` of many texts at once, whose seeds stand in order: the seeds that runs begin at, in order, and the keys of these."""
+    n, keys = len(at), h.view(np.uint64)
+    # whether a seed goes on from the one before it, and on the same diagonal band of the same first holder
+    on, same = np.zeros(n, bool), np.zeros(n, bool)
+    on[1:] = (node[1:] == node[:-1]) & (np.diff(at) <= window)
+    leap = np.diff(there)
+    same[1:] = (other[1:] == other[:-1]) & (leap > 0) & (leap <= window)
+    i = np.arange(n)
+    key, alike, size, found = keys * np.uint64(MIX[1]), np.ones(n, bool), 1, []
+    while len(i):
+        kept = i + size < n
+        kept[kept] = on[i[kept] + size]
+        i, key, alike = i[kept], key[kept], alike[kept]
+        j = i + size
+        alike = alike & same[j]
+        key = (key ^ keys[j]) * np.uint64(MIX[0])
+        key ^= key >> np.uint64(32)
+        size += 1
+        long = at[j] + k - at[i] >= least
+        out = ~alike if not size & (size - 1) else ~alike & long
+        found.append((i[out], key[out]))
+        i, key, alike = i[~long], key[~long], alike[~long]
+    begins, key = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (i, key)
+    order = np.argsort(begins, kind="stable")
+    begins, key = begins[order], key[order].view(np.int64)
+    # of equal runs of one text
+    order = np.lexsort((key, node[begins]))
+    equal = (np.diff(node[begins[order]]) == 0) & (np.diff(key[order]) == 0)
+    several = np.append(equal, False) | np.insert(equal, 0, False) if len(order) else np.zeros(0, bool)
+    drop, last = [], {}
+    for x in np.sort(order[several]).tolist():
+        b = int(begins[x])
+        named = int(node[b]), int(key[x])
+        if at[b] - last.get(named, -least) >= least:
+            last[named] = int(at[b])
+        else:
+            drop.append(x)
+    return np.delete(begins, drop), np.delete(key, drop)
+
+
 def runs(found: list[tuple[int, int, int, int]], k: int, window: int, least: int) -> list[tuple[int, int]]:
     """(hash, position) of the runs of neighbouring seeds: from each, those of 2, 4, 8 ... seeds and the first of ``least`` words.
 
@@ -401,68 +515,51 @@ def runs(found: list[tuple[int, int, int, int]], k: int, window: int, least: int
     is left out: all holders meet that text on every seed of it anyway.  Of equal
     runs that overlap, as in a text of one word, the first counts.
     """
-    out, last = [], {}
-    # from each seed on: the next that is too far from the one before it, the next whose holder or order differs, the first of ``least`` words
-    n = len(found)
-    apart, differs, far = [n] * (n + 1), [n] * (n + 1), 0
-    for i in range(n - 2, -1, -1):
-        (at, _, other, there), (at2, _, other2, there2) = found[i], found[i + 1]
-        apart[i] = i + 1 if at2 - at > window else apart[i + 1]
-        differs[i] = i + 1 if other2 != other or not 0 < there2 - there <= window else differs[i + 1]
-    for i, (at, h, other, there) in enumerate(found):
-        while far < n and found[far][0] + k - at < least:
-            far += 1
-        if differs[i] >= min(apart[i], max(far, i + 1) + 1):
-            continue
-        key, before, same, size = h * MIX[1] & _WORD, at, True, 1
-        for j in range(i + 1, len(found)):
-            here, h2, other2, there2 = found[j]
-            if here - before > window:
-                break
-            same = same and other2 == other and 0 < there2 - there <= window
-            key = ((key ^ h2 & _WORD) * MIX[0]) & _WORD
-            key ^= key >> 32
-            size += 1
-            long = here + k - at >= least
-            if not same and (long or not size & (size - 1)) and at - last.get(key, -least) >= least:
-                last[key] = at
-                out.append((key - (key >> 63 << 64), at))
-            if long:
-                break
-            before, there = here, there2
-    return out
+    at, h, other, there = np.array(found, np.int64).reshape(-1, 4).T.copy()
+    begins, keys = _runs(np.zeros(len(at), np.int64), at, h, other, there, k, window, least)
+    return list(zip(keys.tolist(), at[begins].tolist(), strict=True))
 
 
 def _run_keys(shared: DataFrame, k: int, window: int, min_words: int) -> DataFrame:
+    """Keys of ``runs`` and their places, and which are the first of their key in the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, len(batch), 1000):
                 part = batch.slice(begin, 1000)
                 offsets, *held = _lists(part.column(1), "at", "h", "other", "there")
-                nodes, keys, places = [], [], []
-                for node, lo, hi in zip(part.column(0).to_pylist(), offsets, offsets[1:], strict=False):
-                    if hi - lo > 1:  # a run has two seeds at least
-                        found = sorted(set(zip(*[c[lo:hi].tolist() for c in held], strict=True)))
-                        for h, at in runs(found, k, window, min_words):
-                            nodes.append(node)
-                            keys.append(h)
-                            places.append(at)
-                columns = [pa.array(nodes, pa.int64()), pa.array(keys, pa.int64()), pa.array(places, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["node", "h", "at"])
+                row, (at, h, other, there) = np.repeat(np.arange(len(part)), np.diff(offsets)), (c.astype(np.int64) for c in held)
+                order = np.lexsort((there, other, h, at, row))
+                row, at, h, other, there = (c[order] for c in (row, at, h, other, there))
+                new = np.ones(len(row), bool)  # copies of a text have given its seeds, too
+                new[1:] = np.any([c[1:] != c[:-1] for c in (row, at, h, other, there)], axis=0)
+                row, at, h, other, there = (c[new] for c in (row, at, h, other, there))
+                begins, keys = _runs(row, at, h, other, there, k, window, min_words)
+                nodes = part.column(0).to_numpy()[row[begins]]
+                columns = [pa.array(nodes), pa.array(keys), pa.array(at[begins].astype(np.int32)), pa.array(_first(row[begins], keys))]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "h", "at", "first"])
+
+    return shared.select("node", "held").mapInArrow(releasing(run), "node long, h long, at int, first boolean")
 
-    return shared.select("node", "held").mapInArrow(releasing(run), "node long, h long, at int")
+
+def _first(of: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which entries are the first with their key in their text; the entries of a text stand together."""
+    order = np.lexsort((keys, of))
+    first = np.ones(len(of), bool)
+    first[order[1:]] = (np.diff(of[order]) != 0) | (keys[order[1:]] != keys[order[:-1]])
+    return first
 
 
 def _met(keys: DataFrame) -> DataFrame:
-    """Keys (node, h, at) that several nodes hold, with their place in the first holder, which is among them.
+    """Keys (node, h, at, first) that several nodes hold, with their place in the first holder, which is among them.
 
     Grouping combines before the shuffle, and the join to the keys that several
     hold is one that Spark can split, so a key may be in any share of the texts.
     """
-    several = keys.groupBy("h").agg(F.min("node").alias("other"), F.max("node").alias("most")).where("other <> most")
-    held = keys.join(several.select("h", "other"), "h")
-    places = held.where("node = other").groupBy("h").agg(F.min("at").alias("there"))
-    return held.join(places, "h")
+    node = F.col("node")
+    place = F.min_by("at", F.when(F.col("first"), node)).alias("there")
+    several = keys.groupBy("h").agg(F.min(node).alias("other"), F.max(node).alias("most"), place).where("other <> most")
+    return keys.select("node", "h", "at").join(several.select("h", "other", "there"), "h")
 
 
 REGION = "node long, other long, start int, sizes array<int>, p array<int>, h array<int>, words array<int>"
@@ -720,18 +817,24 @@ def _grams(x: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return key[keep], row[keep]
 
 
+def _grown(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of words that agree how many leading ones ``_extended`` takes in, and how many of these agree."""
+    side = side[:, :MARGIN]
+    run = np.cumsum(side * np.int32(3) - np.int32(2), axis=1)
+    dropped = np.maximum.accumulate(np.maximum(run, 0), axis=1) - run >= DROP
+    run[np.logical_or.accumulate(dropped, axis=1)] = -1
+    best = run.argmax(axis=1)
+    words = np.where(run[np.arange(len(side)), best] > 0, best + 1, 0)
+    return words, (side & (np.arange(side.shape[1]) < words[:, None])).sum(axis=1)
+
+
 def _alone(equal: np.ndarray, middle: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Words, and those that agree, of the alignment (``align``) of the match in the middle alone; for rows of words that agree."""
-    rows, wide, same = np.arange(len(equal)), np.full(len(equal), k), equal[:, middle : middle + k].sum(axis=1)
+    wide, same = np.full(len(equal), k), equal[:, middle : middle + k].sum(axis=1)
     for side in (equal[:, :middle][:, ::-1], equal[:, middle + k :]):
-        side = side[:, :MARGIN]
-        run = np.cumsum(side * np.int32(3) - np.int32(2), axis=1)
-        dropped = np.maximum.accumulate(np.maximum(run, 0), axis=1) - run >= DROP
-        run[np.logical_or.accumulate(dropped, axis=1)] = -1
-        best = run.argmax(axis=1)
-        words = np.where(run[rows, best] > 0, best + 1, 0)
+        words, agree = _grown(side)
         wide += words
-        same += (side & (np.arange(side.shape[1]) < words[:, None])).sum(axis=1)
+        same += agree
     return wide, same
 
 
@@ -811,7 +914,11 @@ def _meet(x: np.ndarray, sides: np.ndarray, labels: np.ndarray, nodes: np.ndarra
                 yield from linked(i[at : at + 20_000], j[at : at + 20_000])
     else:
         right = np.flatnonzero(sides == 2)
-        for i in np.flatnonzero(sides != 2):
+        if n <= 64:  # all at once; roots that change meanwhile are looked at again
+            i, j = np.triu_indices(n, 1)
+            some = may(i, j)
+            yield from linked(i[some], j[some])
+        for i in np.flatnonzero(sides != 2) if n > 64 else ():
             j = np.arange(i + 1, n) if sides[i] == 0 else right
             j = j[roots[j] != roots[i]]
             if len(j):
@@ -823,13 +930,18 @@ def _meet(x: np.ndarray, sides: np.ndarray, labels: np.ndarray, nodes: np.ndarra
     flat = [(h, i, off) for i, held in enumerate(near) for h, off in held]
     if flat:
         h, row, off = (np.array(c) for c in zip(*flat, strict=True))
-        slot = (x * np.uint32(0x9E3779B1)) >> np.uint32(21)
-        maps = np.zeros((n, 1 << 11), bool)
-        maps[np.arange(n)[:, None], slot] = True
+        # what agrees before the middle is in both sides before it, and so after it: a bit for each of 2^13 slots of either
+        slot = (x * np.uint32(0x9E3779B1)) >> np.uint32(19)
+        slot[:, middle:] += np.uint32(1 << 13)
+        bit, slot = np.uint8(1) << (slot & np.uint32(7)).astype(np.uint8), slot >> np.uint32(3)
+        bit[x == 0] = 0
+        bit[:, middle : middle + k] = 0
+        maps = np.zeros((n, 1 << 11), np.uint8)
+        np.bitwise_or.at(maps, (np.arange(n)[:, None], slot), bit)
         tried = set()
 
         def enough(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            return (maps[j[:, None], slot[i]] & (x[i] != 0)).sum(axis=1) >= least
+            return np.count_nonzero(maps[j[:, None], slot[i]] & bit[i], axis=1) + k >= least
 
         def elsewhere() -> Iterator[np.ndarray]:
             """Pairs of rows as one number, many at once."""
@@ -864,10 +976,34 @@ def _meet(x: np.ndarray, sides: np.ndarray, labels: np.ndarray, nodes: np.ndarra
                     yield p, q
 
 
+#: Pairs of rows up to which ``_reach`` goes by the places that agree instead of the whole table.
+FEW = 32
+
+
+def _reach_of(n: int, wide: int, row: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """``_reach`` by the places (r, c) of each row that agree: the least ends of subsequences of each length say what one there ends."""
+    values, before, ends = [], -1, []
+    for i, at in zip(row.tolist(), c.tolist(), strict=True):
+        if i != before:
+            before, ends = i, []
+        length = bisect_left(ends, at)
+        ends[length : length + 1] = [at]
+        values.append(length + 1)
+    best = np.full((2 * wide + 1, n), -1, np.int16)
+    best[0] = 0
+    np.maximum.at(best, (r + c + 2, row), np.array(values, np.int16))
+    return best
+
+
 def _reach(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each pair of rows and each sum s of two lengths: the most words in order that agree of beginnings with s words
     in all, whose last words are of these; -1 if there are no such."""
     n, wide = a.shape
+    if n <= FEW:
+        # places that agree, from left to right in a, from right to left in b
+        row, r, c = np.nonzero((a[:, :, None] == b[:, None, ::-1]) & (a != 0)[:, :, None])
+        if len(row) <= 200 * FEW:
+            return _reach_of(n, wide, row, r, wide - 1 - c)
     a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
     best, last = np.full((2 * wide + 1, n), -1, np.int16), np.zeros((wide + 1, n), np.int16)
     best[0] = 0
@@ -940,38 +1076,58 @@ def _left(around: DataFrame, k: int, min_words: int, min_identity: float) -> Dat
     return dealt.mapInArrow(releasing(run), "node long, other long, at int, there int")
 
 
+def _beside(a: np.ndarray, b: np.ndarray, p: np.ndarray, h: np.ndarray, most: np.ndarray, step: int) -> np.ndarray:
+    """Which of the ``MARGIN`` words from p in a and h in b on, step by step, agree; of each pair of places no more than ``most``."""
+    off = np.arange(MARGIN)
+    there, off = off < most[:, None], off * step
+    return there & (a[np.where(there, p[:, None] + off, 0)] == b[np.where(there, h[:, None] + off, 0)])
+
+
+def _between(a: np.ndarray, b: np.ndarray, p: np.ndarray, h: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """How many of the ``wide`` words (one at least) from p in a and h in b on agree."""
+    starts = np.cumsum(wide) - wide
+    off = np.arange(int(wide.sum())) - np.repeat(starts, wide)
+    return np.add.reduceat((a[np.repeat(p, wide) + off] == b[np.repeat(h, wide) + off]).astype(np.int64), starts)
+
+
 def _agreeing_around(a: np.ndarray, b: np.ndarray, p: np.ndarray, h: np.ndarray, k: int) -> np.ndarray:
     """For each match (p in a, h in b) how many words agree on its diagonal, up to ``MARGIN`` beyond it."""
-    found = []
-    for x, y in zip(p.tolist(), h.tolist(), strict=True):
-        lead, tail = min(MARGIN, x, y), k + MARGIN
-        found.append(np.count_nonzero(_equal(a[x - lead : x + tail], b[y - lead : y + tail])))
-    return np.array(found, np.int64)
-
-
-def _held_against(
-    a: np.ndarray, b: np.ndarray, p: np.ndarray, h: np.ndarray, k: int, min_words: int, min_identity: float
-) -> list[tuple[int, int, int, int, int, float]]:
-    """The passages of a chain of matches (p in a, h in b), each with its identity."""
-    least, shift = min_identity * min_words, int(h[0]) - int(p[0])
-    if len(p) == 1 or (h - p == shift).all():
+    lead = _beside(a, b, p - 1, h - 1, np.minimum(p, h), -1)
+    tail = _beside(a, b, p + k, h + k, np.minimum(len(a) - p, len(b) - h) - k, 1)
+    return lead.sum(axis=1) + _between(a, b, p, h, np.full(len(p), k)) + tail.sum(axis=1)
+
+
+def _straight(
+    a: np.ndarray, b: np.ndarray, first: np.ndarray, last: np.ndarray, shift: np.ndarray, room: tuple[np.ndarray, np.ndarray], min_words: int, min_identity: float
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of chains that keep to a diagonal, from ``first`` to ``last`` in a and ``shift`` beyond that in b, with ``room`` words before
+    and after in both: those that have one passage, as start, end and words that agree, else none; and which are left to align."""
+    least, found = min_identity * min_words, [[], [], [], []]
+    for at in range(0, len(first), 4000):
+        some = slice(at, at + 4000)
+        p, e, by = first[some], last[some], shift[some]
+        lead, tail = _beside(a, b, p - 1, p + by - 1, room[0][some], -1), _beside(a, b, e, e + by, room[1][some], 1)
+        same = _between(a, b, p, p + by, e - p)
         # no more words than agree on the diagonal of the chain can be aligned
-        lo = max(0, -shift)
-        equal = _equal(a[lo:], b[lo + shift :])
-        if np.count_nonzero(equal) < least:
-            return []
-        first, last = int(p[0]) - lo, int(p[-1]) + k - lo
-        if equal[first:last].all():  # nothing to align between the matches
-            s = first - _extended(equal[:first][::-1])
-            e = last + _extended(equal[last:])
-            same = int(np.count_nonzero(equal[s:e]))
-            if e - s < min_words or same < least:
-                return []
-            if same >= min_identity * (e - s):
-                s, e = s + lo, e + lo
-                return [(s, e, s + shift, e + shift, same, same / (e - s))]
-    found = passages(a, b, list(zip(p.tolist(), h.tolist(), strict=True)), k, min_words, min_identity)
-    return [(s, e, so, eo, same, same / max(e - s, eo - so)) for s, e, so, eo, same in found]
+        enough, whole = lead.sum(axis=1) + same + tail.sum(axis=1) >= least, same == e - p
+        (before, agree), (after, agree2) = _grown(lead), _grown(tail)
+        p, e, same = p - before, e + after, same + agree + agree2
+        fits = enough & whole & (e - p >= min_words) & (same >= least)
+        one = fits & (same >= min_identity * (e - p))
+        for held, x in zip(found, (p, e, np.where(one, same, 0), enough & ~whole | fits & ~one), strict=True):
+            held.append(x)
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
+
+
+def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The short hashes of texts, one after another, and where each begins and ends."""
+    if pa.types.is_binary(column.type) and not column.null_count:
+        _, ends, data = column.buffers()
+        ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+        flat = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(np.int32) if data else np.zeros(0, np.int32)
+        return flat, (ends - ends[0]).astype(np.int64) // 4
+    texts = [short_hashes(x) for x in column.to_pylist()]
+    return np.concatenate([np.zeros(0, np.uint32), *texts]).view(np.int32), np.cumsum([0, *map(len, texts)])
 
 
 PASSAGE = "node long, other long, start long, end long, other_start long, other_end long, n_words long, identity double"
@@ -979,38 +1135,48 @@ PASSAGE = "node long, other long, start long, end long, other_start long, other_
 
 def _aligned(rows: DataFrame, k: int, min_words: int, min_identity: float) -> DataFrame:
     """Passages of the regions joined with the other text."""
-    least = min_identity * min_words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, hashes = None, None
         for batch in batches:
-            out = []
-            nodes, others, starts = (batch.column(i).to_pylist() for i in range(3))
-            chain, sizes = _lists(batch.column(3))
-            at, ps = _lists(batch.column(4))
-            _, hs = _lists(batch.column(5))
-            cut, all_words = _lists(batch.column(6))
-            for i in range(len(batch)):
-                if others[i] != held:  # rows against one text stand together
-                    held = others[i]
-                    hashes = short_hashes(batch.column(7)[i].as_py()).view(np.int32)
-                around = all_words[cut[i] : cut[i + 1]]
-                ends = at[i] + np.cumsum(sizes[chain[i] : chain[i + 1]])
-                begins = ends - sizes[chain[i] : chain[i + 1]]
-                lone = ends - begins == 1
-                some = ~lone
-                some[lone] = _agreeing_around(around, hashes, ps[begins[lone]] - starts[i], hs[begins[lone]], k) >= least
-                for begin, end in zip(begins[some].tolist(), ends[some].tolist(), strict=True):
-                    start, there = max(0, int(ps[begin]) - MARGIN), max(0, int(hs[begin]) - MARGIN)
-                    a = around[start - starts[i] : int(ps[end - 1]) + k + MARGIN - starts[i]]
-                    b = hashes[there : int(hs[end - 1]) + k + MARGIN]
-                    p, h = ps[begin:end] - start, hs[begin:end] - there
-                    for s, e, so, eo, same, share in _held_against(a, b, p, h, k, min_words, min_identity):
-                        out.append((nodes[i], held, s + start, e + start, so + there, eo + there, same, share))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 8
+            nodes, others, starts = (batch.column(i).to_numpy() for i in range(3))
+            rows, sizes = _lists(batch.column(3))
+            (_, ps), (_, hs) = _lists(batch.column(4)), _lists(batch.column(5))
+            cut, words = _lists(batch.column(6))
+            texts, ends = _texts(batch.column(7))
+            if not len(sizes):
+                continue
+            # of each chain: its row, its matches and the words it has on either side
+            of, stop = np.repeat(np.arange(len(batch)), np.diff(rows)), np.cumsum(sizes)
+            begin, starts = stop - sizes, starts.astype(np.int64)
+            ps, hs = ps.astype(np.int64), hs.astype(np.int64)
+            first, last, shift = ps[begin], ps[stop - 1] + k, hs - ps
+            straight = np.logical_and.reduceat(shift == np.repeat(shift[begin], sizes), begin)
+            shift = shift[begin]
+            to_a, to_b = cut[of] - starts[of], ends[of]  # where word 0 of the text and of the other one would stand
+            before = np.minimum(first - starts[of], first + shift)
+            after = np.minimum(cut[of + 1] - to_a - last, ends[of + 1] - to_b - last - shift)
+            straight &= (before >= 0) & (after >= 0)
+            on = np.flatnonzero(straight)
+            s, e, same, left = _straight(
+                words, texts, (first + to_a)[on], (last + to_a)[on], (shift + to_b - to_a)[on], (before[on], after[on]), min_words, min_identity
+            )
+            s, e, one = s - to_a[on], e - to_a[on], same > 0
+            whole = (nodes[of[on]], others[of[on]], s, e, s + shift[on], e + shift[on], same, same / np.maximum(e - s, 1))
+            made, out = [tuple(c[one] for c in whole)], []
+            for c in np.sort(np.concatenate([on[left.astype(bool)], np.flatnonzero(~straight)])).tolist():
+                i, lo, hi = int(of[c]), int(begin[c]), int(stop[c])
+                start, there = max(int(starts[i]), int(ps[lo]) - MARGIN), max(0, int(hs[lo]) - MARGIN)
+                skip = int(cut[i]) - int(starts[i])
+                a = words[start + skip : min(int(ps[hi - 1]) + k + MARGIN + skip, int(cut[i + 1]))]
+                b = texts[there + int(ends[i]) : min(int(hs[hi - 1]) + k + MARGIN + int(ends[i]), int(ends[i + 1]))]
+                found = list(zip((ps[lo:hi] - start).tolist(), (hs[lo:hi] - there).tolist(), strict=True))
+                for s, e, so, eo, same in passages(a, b, found, k, min_words, min_identity):
+                    out.append((nodes[i], others[i], s + start, e + start, so + there, eo + there, same, same / max(e - s, eo - so)))
+            if out:
+                made.append(tuple(np.array(c) for c in zip(*out, strict=True)))
             kinds = [pa.int64()] * 7 + [pa.float64()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
+                [pa.array(np.concatenate(c), t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)],
                 ["node", "other", "start", "end", "other_start", "other_end", "n_words", "identity"],
             )
 
@@ -1018,6 +1184,37 @@ def _aligned(rows: DataFrame, k: int, min_words: int, min_identity: float) -> Da
     return picked.mapInArrow(releasing(run), PASSAGE)
 
 
+def _seeds_of(pairs: DataFrame, shared: DataFrame) -> DataFrame:
+    """(node, other, at, there) of the seeds that both texts of a pair hold, at their first place in the other one.
+
+    A pair stays one row with the seeds of both as lists, so the rows are no more than the pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, others = (batch.column(i).to_numpy() for i in range(2))
+            (cuts, h), (_, at), (offsets, h2), (_, at2) = (_lists(batch.column(i)) for i in range(2, 6))
+            ats, theres = [], []
+            for lo, hi, begin, stop in zip(cuts, cuts[1:], offsets, offsets[1:], strict=False):
+                order = np.lexsort((at2[begin:stop], h2[begin:stop]))
+                other, there = h2[begin:stop][order], at2[begin:stop][order]
+                places = np.searchsorted(other, h[lo:hi], "left")
+                same = places < len(other)
+                same[same] = other[places[same]] == h[lo:hi][same]
+                ats.append(at[lo:hi][same])
+                theres.append(there[places[same]])
+            sizes = [len(x) for x in ats]
+            none = np.zeros(0, np.int32)
+            columns = [np.repeat(nodes, sizes), np.repeat(others, sizes), np.concatenate([none, *ats]), np.concatenate([none, *theres])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "other", "at", "there"])
+
+    listed = shared.select(F.col("node").alias("of"), F.col("held.h").alias("h"), F.col("held.at").alias("at"))
+    of_node = pairs.join(listed, F.col("node") == F.col("of")).drop("of")
+    others = listed.select("of", F.col("h").alias("other_h"), F.col("at").alias("other_at"))
+    picked = of_node.join(others, F.col("other") == F.col("of")).select("node", "other", "h", "at", "other_h", "other_at")
+    return picked.mapInArrow(releasing(run), "node long, other long, at int, there int")
+
+
 def matched(met: DataFrame) -> DataFrame:
     """(node, matches) of rows (node, other, at, there)."""
     return met.where("node <> other").groupBy("node").agg(F.collect_set(F.struct("other", "at", "there")).alias("matches"))
@@ -1079,9 +1276,7 @@ def repeated_passages(
     left = materialize(_left(around, k, min_words, min_identity).distinct(), "left")
     discard(around)
     # with all other seeds that the two share, as chains need them
-    held = shared.select("node", F.inline("held")).select("node", "h", "at")
-    of_other = held.groupBy(F.col("node").alias("other"), "h").agg(F.min("at").alias("there"))
-    more = left.select("node", "other").distinct().join(held, "node").join(of_other, ["other", "h"]).select(*columns)
+    more = _seeds_of(left.select("node", "other").distinct(), shared)
     found = found.unionByName(aligned(matched(left.select(*columns).unionByName(more)))).distinct()
     partial = (
         found.join(names.withColumnRenamed("least_id", "id"), "node")
