@@ -404,12 +404,15 @@ def test_a_pair_of_texts_stays_one_row_with_the_seeds_of_both(spark):
     rng = random.Random(15)
     held = {node: [(rng.randrange(12), at, 0, 0) for at in range(0, 10 * rng.randrange(1, 9), 10)] for node in range(20)}
     shared = spark.createDataFrame(list(held.items()), "node long, held array<struct<h:long,at:int,other:long,there:int>>")
-    pairs = [(a, b) for a in range(20) for b in range(a) if rng.random() < 0.4]
-    got = sd._seeds_of(spark.createDataFrame(pairs, "node long, other long"), shared)
+    pairs = [(a, b, 900 + a, 800 + c) for a in range(20) for b in range(a) if rng.random() < 0.4 for c in range(2)]
+    both = sd._with_seeds(spark.createDataFrame(pairs, "node long, other long, at int, there int"), shared)
+    got = [(r.node, r.other, *m) for r in both.collect() for m in zip(r["at"], r.there, strict=True)]
     first = {node: {h: at for h, at, *_ in reversed(seeds_of)} for node, seeds_of in held.items()}
-    want = [(a, b, at, first[b][h]) for a, b in pairs for h, at, *_ in held[a] if h in first[b]]
-    assert sorted(map(tuple, got.collect())) == sorted(want) and want
-    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = [(a, b, at, first[b][h]) for a, b in {p[:2] for p in pairs} for h, at, *_ in held[a] if h in first[b]]
+    assert sorted(got) == sorted(want + pairs) and want
+    assert both.count() == len({p[:2] for p in pairs})
+    assert "Generate" not in both._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.node, *m) for r in sd._gathered(both).collect() for m in r.matches) == sorted(got)
 
 
 def test_chains_that_keep_to_a_diagonal_are_aligned_as_one_by_one(spark):

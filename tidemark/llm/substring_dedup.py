@@ -1184,35 +1184,40 @@ def _aligned(rows: DataFrame, k: int, min_words: int, min_identity: float) -> Da
     return picked.mapInArrow(releasing(run), PASSAGE)
 
 
-def _seeds_of(pairs: DataFrame, shared: DataFrame) -> DataFrame:
-    """(node, other, at, there) of the seeds that both texts of a pair hold, at their first place in the other one.
+def _with_seeds(met: DataFrame, shared: DataFrame) -> DataFrame:
+    """(node, other, matches) of the pairs of rows (node, other, at, there): these, and the seeds that both texts hold, at their first place in the other one.
 
     A pair stays one row with the seeds of both as lists, so the rows are no more than the pairs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, others = (batch.column(i).to_numpy() for i in range(2))
-            (cuts, h), (_, at), (offsets, h2), (_, at2) = (_lists(batch.column(i)) for i in range(2, 6))
+            own, own_at, own_there = _lists(batch.column(2), "at", "there")
+            (cuts, h), (_, at), (offsets, h2), (_, at2) = (_lists(batch.column(i)) for i in range(3, 7))
             ats, theres = [], []
-            for lo, hi, begin, stop in zip(cuts, cuts[1:], offsets, offsets[1:], strict=False):
+            for first, last, lo, hi, begin, stop in zip(own, own[1:], cuts, cuts[1:], offsets, offsets[1:], strict=False):
                 order = np.lexsort((at2[begin:stop], h2[begin:stop]))
-                other, there = h2[begin:stop][order], at2[begin:stop][order]
-                places = np.searchsorted(other, h[lo:hi], "left")
-                same = places < len(other)
-                same[same] = other[places[same]] == h[lo:hi][same]
-                ats.append(at[lo:hi][same])
-                theres.append(there[places[same]])
-            sizes = [len(x) for x in ats]
-            none = np.zeros(0, np.int32)
-            columns = [np.repeat(nodes, sizes), np.repeat(others, sizes), np.concatenate([none, *ats]), np.concatenate([none, *theres])]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "other", "at", "there"])
-
+                held, there = h2[begin:stop][order], at2[begin:stop][order]
+                places = np.searchsorted(held, h[lo:hi], "left")
+                same = places < len(held)
+                same[same] = held[places[same]] == h[lo:hi][same]
+                ats.append(np.concatenate([own_at[first:last], at[lo:hi][same]]))
+                theres.append(np.concatenate([own_there[first:last], there[places[same]]]))
+            columns = [batch.column(0), batch.column(1), _column(ats, pa.int32()), _column(theres, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "other", "at", "there"])
+
+    pairs = met.where("node <> other").groupBy("node", "other").agg(F.collect_set(F.struct("at", "there")).alias("met"))
     listed = shared.select(F.col("node").alias("of"), F.col("held.h").alias("h"), F.col("held.at").alias("at"))
     of_node = pairs.join(listed, F.col("node") == F.col("of")).drop("of")
     others = listed.select("of", F.col("h").alias("other_h"), F.col("at").alias("other_at"))
-    picked = of_node.join(others, F.col("other") == F.col("of")).select("node", "other", "h", "at", "other_h", "other_at")
-    return picked.mapInArrow(releasing(run), "node long, other long, at int, there int")
+    picked = of_node.join(others, F.col("other") == F.col("of")).select("node", "other", "met", "h", "at", "other_h", "other_at")
+    return picked.mapInArrow(releasing(run), "node long, other long, at array<int>, there array<int>")
+
+
+def _gathered(pairs: DataFrame) -> DataFrame:
+    """(node, matches) of rows (node, other, at, there) with lists of places."""
+    places = F.transform(F.arrays_zip("at", "there"), lambda x: F.struct(F.col("other").alias("other"), x["at"].alias("at"), x["there"].alias("there")))
+    return pairs.groupBy("node").agg(F.flatten(F.collect_list(places)).alias("matches"))
 
 
 def matched(met: DataFrame) -> DataFrame:
@@ -1276,8 +1281,7 @@ def repeated_passages(
     left = materialize(_left(around, k, min_words, min_identity).distinct(), "left")
     discard(around)
     # with all other seeds that the two share, as chains need them
-    more = _seeds_of(left.select("node", "other").distinct(), shared)
-    found = found.unionByName(aligned(matched(left.select(*columns).unionByName(more)))).distinct()
+    found = found.unionByName(aligned(_gathered(_with_seeds(left.select(*columns), shared)))).distinct()
     partial = (
         found.join(names.withColumnRenamed("least_id", "id"), "node")
         .join(names.select(F.col("node").alias("other"), F.col("least_id").alias("other_id")), "other")
